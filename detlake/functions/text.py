@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .boxes import col
+from .boxes import col, let
+from .numbers import scaled_integer
 
 # Characters that are replaced by an underscore.
 SPECIAL = "|@#!¡·$€%&()=?¿^*;:,¨´><+"
@@ -41,33 +42,44 @@ def label_path(path) -> Column:
 
 
 def format_g(c, digits: int = 6) -> Column:
-    """C's ``%.{digits}g``: ``digits`` significant digits, no trailing zeros, exponent form for very small or large.
-
-    The rounded value is first written in scientific form with ``digits - 1`` decimals; its exponent decides between the
-    plain and the exponent notation, as in C.
-    """
+    """C's ``%.{digits}g``: ``digits`` significant digits, no trailing zeros, exponent form for very small or large."""
     x = col(c).cast("double")
-    sci = F.format_string(f"%.{digits - 1}e", x)
-    exp = F.regexp_extract(sci, r"e([+-]\d+)$", 1).cast("int")
-    mant = F.regexp_extract(sci, r"^(.*)e", 1)
-    trimmed = F.when(mant.contains("."), F.regexp_replace(F.regexp_replace(mant, "0+$", ""), r"\.$", "")).otherwise(mant)
-    # plain notation: move the decimal point of the rounded digits, all as text
-    sign = F.when(mant.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    ds = F.regexp_replace(mant, "[-.]", "")
-    pos = F.greatest(exp, F.lit(0))
-    whole = F.rpad(F.substring(ds, F.lit(1), pos + 1), pos + 1, F.lit("0"))
-    frac = F.when(exp >= 0, F.substring(ds, exp + 2, F.lit(digits))).otherwise(
-        F.concat(F.repeat(F.lit("0"), -exp - 1), ds)
-    )
-    whole = F.when(exp >= 0, whole).otherwise(F.lit("0"))
-    frac = F.regexp_replace(frac, "0+$", "")
-    plain = F.concat(sign, whole, F.when(frac != "", F.concat(F.lit("."), frac)).otherwise(F.lit("")))
-    expo = F.concat(trimmed, F.lit("e"), F.regexp_extract(sci, r"e([+-]\d+)$", 1))
-    zero = F.when(x == 0, F.lit("0"))
+    ten = F.lit(10.0)
+
+    def exponent(a):
+        e = F.floor(F.log10(a)).cast("int")
+        # the logarithm may be off by one next to a power of ten
+        return F.when(a < F.pow(ten, e), e - 1).when(a >= F.pow(ten, e + 1), e + 1).otherwise(e)
+
+    def rounded(v):
+        n = scaled_integer(v["a"], (digits - 1) - v["e"])
+        full = n >= 10.0**digits  # rounded up to the next power of ten
+        return F.struct(
+            F.when(full, n / 10).otherwise(n).cast("bigint").cast("string").alias("d"),
+            F.when(full, v["e"] + 1).otherwise(v["e"]).alias("e"),
+        )
+
+    def written(v):
+        d, e = F.rtrim(v["d"], F.lit("0")), v["e"]
+        tail = F.substring(d, F.lit(2), F.lit(digits))
+        sci = F.concat(
+            F.substring(d, F.lit(1), F.lit(1)), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(F.lit("")),
+            F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(e).cast("string"), F.greatest(F.length(F.abs(e).cast("string")), F.lit(2)), F.lit("0")),
+        )
+        frac = F.substring(d, e + 2, F.lit(digits))
+        large = F.concat(F.rpad(F.substring(d, F.lit(1), e + 1), e + 1, F.lit("0")), F.when(frac != "", F.concat(F.lit("."), frac)).otherwise(F.lit("")))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d)
+        return F.when((e < -4) | (e >= digits), sci).when(e >= 0, large).otherwise(small)
+
+    def number(a):
+        return let(let(F.struct(a.alias("a"), exponent(a).alias("e")), rounded), written)
+
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
     return (
         F.when(x.isNull(), F.lit(None).cast("string"))
         .when(F.isnan(x), F.lit("nan"))
-        .otherwise(F.coalesce(zero, F.when((exp < -4) | (exp >= digits), expo).otherwise(plain)))
+        .when(x == 0, F.lit("0"))
+        .otherwise(F.concat(sign, let(F.abs(x), number)))
     )
 
 
