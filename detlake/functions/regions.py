@@ -74,12 +74,13 @@ def step_meets_line(points, px, py, x, y) -> Column:
     return segments_meet((px, py), (x, y), (a["x"], a["y"]), (b["x"], b["y"]))
 
 
-def step_meets_outline(points, px, py, x, y) -> Column:
-    """The step meets an open chain of segments (2 points: the line itself)."""
+def step_meets_region(points, px, py, x, y) -> Column:
+    """The step touches a two-point line, or touches or lies in a closed polygon."""
     p, (px, py, x, y) = col(points), cols(px, py, x, y)
 
-    def hit(i):
-        a, b = F.element_at(p, i), F.element_at(p, i + 1)
-        return segments_meet((px, py), (x, y), (a["x"], a["y"]), (b["x"], b["y"]))
+    def hit(q, i):
+        r = _next(p, i)
+        return segments_meet((px, py), (x, y), (q["x"], q["y"]), (r["x"], r["y"]))
 
-    return F.exists(F.sequence(F.lit(1), F.size(p) - 1), hit)
+    edges = F.exists(F.transform(p, hit), lambda b: b)
+    return edges | F.when(F.size(p) > 2, in_polygon(p, x, y, inclusive=True)).otherwise(F.lit(False))

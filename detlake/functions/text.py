@@ -89,10 +89,13 @@ def plural_count(n, name) -> Column:
 
 
 def softmax(scores) -> Column:
-    s = F.transform(col(scores), lambda v: v.cast("double"))
-    e = F.transform(s, lambda v: F.exp(v - F.array_max(s)))
-    total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / total)
+    def powers(s):
+        return let(F.array_max(s), lambda top: F.transform(s, lambda v: F.exp(v - top)))
+
+    def shares(e):
+        return let(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(e, lambda v: v / total))
+
+    return let(let(F.transform(col(scores), lambda v: v.cast("double")), powers), shares)
 
 
 def sigmoid(c) -> Column:

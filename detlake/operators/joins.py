@@ -149,9 +149,9 @@ def near_regions(steps: DataFrame, regions: DataFrame, px="px", py="py", x="cx",
 
 
 def step_crosses(steps: DataFrame, regions: DataFrame, **kw) -> DataFrame:
-    """Steps whose segment meets the outline of a region (touching counts)."""
+    """Steps that meet a region: cross or touch a line, or touch or enter a polygon."""
     near = near_regions(steps, regions, **kw)
-    return near.filter(RG.step_meets_outline("points", "px", "py", "cx", "cy"))
+    return near.filter(RG.step_meets_region("points", "px", "py", "cx", "cy"))
 
 
 def missing_labels(images: DataFrame, ann: DataFrame, key="image_id") -> DataFrame:

@@ -72,22 +72,21 @@ def previous(
     return out.withColumns({n: F.col("_prev")[n] for n in values}).drop("_blk", "_end", "_prev")
 
 
-def trailing(df: DataFrame, keys, order: str, block: Column, next_block: Column, value: Column, n: int, name: str) -> DataFrame:
-    """Collect the last ``n`` values per row (current included), oldest first.
+def trailing(df: DataFrame, keys, order: str, block: Column, value: Column, n: int, name: str) -> DataFrame:
+    """Add the last ``n`` values per row (its own included), oldest first.
 
-    Rows near the end of a block are also copied into the next non-empty block as context: each (key, block) hands on
-    its last ``n - 1`` rows, combined across blocks, so every window sees all it needs.
+    A row early in a block also needs values from before it. Each (key, block) hands on its last ``n - 1`` values; the last
+    ``n - 1`` non-empty blocks together always hold enough of them.
     """
     d = df.withColumn("_blk", block)
-    w_end = Window.partitionBy(*keys, "_blk").orderBy(F.col(order).desc())
-    tails = d.select(*keys, "_blk", F.struct(F.col(order).alias("o"), value.alias("v")).alias("_t"), F.row_number().over(w_end).alias("_r"))
-    tails = tails.filter(F.col("_r") < n).groupBy(*keys, "_blk").agg(F.sort_array(F.collect_list("_t")).alias("_t"))
-    # at least n - 1 earlier rows are inside the last n - 1 non-empty blocks
-    across = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(-(n - 1), -1)
-    base = tails.select(*keys, "_blk", F.flatten(F.collect_list("_t").over(across)).alias("_c"))
-    base = base.withColumn("_c", F.slice("_c", -F.least(F.size("_c"), F.lit(n - 1)) if n > 1 else F.lit(1), F.lit(n - 1)) if n > 1 else F.col("_c"))
+    item = F.struct(F.col(order).alias("o"), value.alias("v"))
+    newest = Window.partitionBy(*keys, "_blk").orderBy(F.col(order).desc())
+    tails = d.select(*keys, "_blk", item.alias("_t"), F.row_number().over(newest).alias("_r")).filter(F.col("_r") < n)
+    tails = tails.groupBy(*keys, "_blk").agg(F.collect_list("_t").alias("_t"))
+    across = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(-max(n - 1, 1), -1)
+    base = tails.select(*keys, "_blk", F.sort_array(F.flatten(F.collect_list("_t").over(across))).alias("_c"))
     inside = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(-(n - 1), 0)
-    out = d.join(base, [*keys, "_blk"]).withColumn("_own", F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v"))).over(inside))
+    out = d.join(base, [*keys, "_blk"], "left").withColumn("_own", F.collect_list(item).over(inside))
     merged = F.concat(F.coalesce("_c", F.slice("_own", 1, 0)), F.col("_own"))
     last = F.slice(merged, F.greatest(F.size(merged) - n + 1, F.lit(1)), n)
     return out.withColumn(name, F.transform(last, lambda q: q["v"])).drop("_blk", "_c", "_own")
@@ -113,3 +112,30 @@ def with_global_rank(df: DataFrame, *order: str, name: str = "rank", parts: int
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     out = placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_row") + 1)
     return out.drop("_pos", "_part", "_row", "_start")
+
+
+def stream_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], start, step, schema: str) -> DataFrame:
+    """Run a sequential fold over each key's ordered rows, holding one state at a time.
+
+    Rows are partitioned by key and sorted on disk by Spark; Python reads them batch by batch, so a long key never has to
+    fit in memory. ``start(key)`` makes the state of a key and ``step(state, chunk)`` turns the next rows of that key
+    (a pandas frame) into output rows. A chunk is cut at batch ends: consecutive chunks may belong to one key.
+    """
+    keys, order = list(keys), list(order)
+
+    def run(batches):
+        key, state = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            k = pdf[keys].to_numpy(dtype=object)
+            edges = [0, *(1 + i for i in range(len(k) - 1) if (k[i] != k[i + 1]).any()), len(k)]
+            for a, b in zip(edges, edges[1:]):
+                now = tuple(k[a])
+                if now != key:
+                    key, state = now, start(now)
+                out = step(state, pdf.iloc[a:b])
+                if out is not None and len(out):
+                    yield out
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

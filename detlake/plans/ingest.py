@@ -97,13 +97,13 @@ au AS (SELECT path, CAST(count(*) AS BIGINT) AS rows, CAST(count(*) - count(DIST
 
 @query(
     "s04_read_labels", "det images",
-    f"WITH {PARSED} SELECT path, CAST(cls AS INT) AS cls, {sql9(cx='cx', cy='cy', w='w', h='h').replace(', 9)', ', 7)')}, CAST(max(coalesce(len(xs), 0)) AS INT) AS points FROM ps JOIN au USING (path) WHERE reason IS NULL GROUP BY path, cls, cx, cy, w, h",
+    f"WITH {PARSED} SELECT path, CAST(cls AS INT) AS cls, {sql9(cx='cx', cy='cy', w='w', h='h').replace(', 9)', ', 12)')}, CAST(max(coalesce(len(xs), 0)) AS INT) AS points FROM ps JOIN au USING (path) WHERE reason IS NULL GROUP BY path, cls, cx, cy, w, h",
 )
 def s04(t):
     parsed = LB.parse_labels(label_lines(t))
     good = LB.good_labels(parsed, LB.audit_labels(parsed, 5))
     points = F.coalesce(F.size("polygon"), F.lit(0))
-    return good.select("path", "cls", *rounded({c: F.col(c) for c in ("cx", "cy", "w", "h")}, 7), points.alias("points"))
+    return good.select("path", "cls", *rounded({c: F.col(c) for c in ("cx", "cy", "w", "h")}, 12), points.alias("points"))
 
 
 @query("s04_read_pose_labels", "det images", f"SELECT image_id, CAST(sum(cls) AS BIGINT) AS cls, round(sum(((x1 + x2) / 2) / width), 7) AS cx, CAST(count(*) * 2 AS BIGINT) AS points FROM (SELECT DISTINCT image_id, cls, x1, y1, x2, y2, width FROM det JOIN images USING (image_id)) q GROUP BY 1")
@@ -339,7 +339,7 @@ def k02k(t):
     return p.select("image_id.*", F.size("keypoints").alias("numbers"), *r6(second_x=F.col("keypoints")[3]))
 
 
-@query("k03_rotated_predictions", "obb", f"SELECT image_id, det_id, round_even(max(x) FILTER (WHERE pt = 0), 3)::DOUBLE AS px, round_even(max(y) FILTER (WHERE pt = 0), 3)::DOUBLE AS py FROM ({CORNERS}) c GROUP BY 1, 2")
+@query("k03_rotated_predictions", "obb", f"SELECT image_id, det_id, printf('%.3f', max(x) FILTER (WHERE pt = 0))::DOUBLE AS px, printf('%.3f', max(y) FILTER (WHERE pt = 0))::DOUBLE AS py FROM ({CORNERS}) c GROUP BY 1, 2")
 def k03(t):
     p = K.predictions(t.obb.withColumn("image_id", F.struct("image_id", "det_id")), "obb")
     return p.select("image_id.*", F.col("poly")[0].alias("px"), F.col("poly")[1].alias("py"))

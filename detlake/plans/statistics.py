@@ -34,7 +34,7 @@ def a13(t):
     return ST.image_stats(t.images, t.gt, 6)
 
 
-@query("a14_label_listing", "gt images", "SELECT image_id, ann_id, cls, round_even(((x1 + x2) / 2) / width, 4)::DOUBLE AS cx, round_even((y2 - y1) / height, 4)::DOUBLE AS h FROM gt JOIN images USING (image_id)")
+@query("a14_label_listing", "gt images", "SELECT image_id, ann_id, cls, printf('%.4f', ((x1 + x2) / 2) / width)::DOUBLE AS cx, printf('%.4f', (y2 - y1) / height)::DOUBLE AS h FROM gt JOIN images USING (image_id)")
 def a14(t):
     g = t.gt.join(t.images, "image_id")
     n = B.xyxy2xywhn(*BOX, "width", "height")
@@ -90,8 +90,8 @@ def a16c(t):
 
 @query(
     "a17_point_density", "gt",
-    "WITH e AS (SELECT min(x1) AS a, max(x1) AS b, min(y1) AS c, max(y1) AS d FROM gt), q AS (SELECT image_id, ann_id, least(floor((x1 - a) / (b - a) * 20), 19) AS bx, least(floor((y1 - c) / (d - c) * 20), 19) AS by FROM gt, e)"
-    " SELECT image_id, ann_id, count(*) OVER (PARTITION BY bx, by) AS n FROM q",
+    "WITH e AS (SELECT min(x1) AS a, max(x1) AS b, min(y1) AS c, max(y1) AS d FROM gt), q AS (SELECT image_id, ann_id, least(floor((x1 - a) / (b - a) * 20), 19) AS bx, least(floor((y1 - c) / (d - c) * 20), 19) AS yb FROM gt, e)"
+    " SELECT image_id, ann_id, count(*) OVER (PARTITION BY bx, yb) AS n FROM q",
 )
 def a17(t):
     return ST.point_density(t.gt.select("image_id", "ann_id", "x1", "y1"), "x1", "y1").select("image_id", "ann_id", "n")
@@ -204,7 +204,7 @@ def c11(t):
     return e.select("vec_id", "c", *rounded({"p": F.col("p"), "s": sigmoid(v)}, 9))
 
 
-@query("c12_half_even", "", "SELECT p_partkey, round_even(p_retailprice / 8, 2)::DOUBLE AS a, round_even(p_size / 4.0::DOUBLE, 0)::DOUBLE AS b FROM part")
+@query("c12_half_even", "", "SELECT p_partkey, printf('%.2f', p_retailprice / 8)::DOUBLE AS a, round_even(p_size / 4.0::DOUBLE, 0)::DOUBLE AS b FROM part")
 def c12(t):
     from ..functions.numbers import py_round
 
