@@ -134,11 +134,15 @@ def clip_to_window(points, x1, y1, x2, y2) -> Column:
     """Polygon cut by an axis-aligned window, one half-plane after the other (exact for convex polygons' area)."""
     p = col(points)
     x1, y1, x2, y2 = cols(x1, y1, x2, y2)
-    for axis, bound, sign in (("x", x1, 1), ("x", x2, -1), ("y", y1, 1), ("y", y2, -1)):
-        p = let(p, lambda q, a=axis, b=bound, s=sign: _cut(q, a, b, s))
+    for side in (("x", x1, 1), ("x", x2, -1), ("y", y1, 1), ("y", y2, -1)):
+        p = let(p, _cutter(*side))
     return p
 
 
+def _cutter(axis: str, bound: Column, sign: int):
+    return lambda p: _cut(p, axis, bound, sign)
+
+
 def _cut(p: Column, axis: str, bound: Column, sign: int) -> Column:
     other = "y" if axis == "x" else "x"
 

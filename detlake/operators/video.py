@@ -19,8 +19,8 @@ TRACK = ("video_id", "track_id")
 BLOCK = 4096
 
 
-def frame_block(frame="frame_no", size: int = BLOCK) -> Column:
-    return F.floor(F.col(frame) / size)
+def frame_block(frame="frame_no", size: int | None = None) -> Column:
+    return F.floor(F.col(frame) / (size or BLOCK))
 
 
 def with_centers(tracks: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def count_reps(angles: DataFrame, up: float = 145, down: float = 90, keys=TRACK,
     """
     event = F.when(F.col("angle") < down, "down").when(F.col("angle") > up, "up")
     e = angles.withColumn("_event", event)
-    blk = F.floor(F.col(order) / BLOCK)
+    blk = frame_block(order)
     e = previous(e, keys, [order], blk, {"_last": "_event"}, when=F.col("_event").isNotNull())
     rep = (F.col("_event") == "down") & (F.col("_last") == "up")
     e = e.withColumn("_rep", F.when(rep, 1).otherwise(0)).withColumn("stage", F.coalesce("_event", "_last", F.lit("-")))

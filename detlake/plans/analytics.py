@@ -121,7 +121,7 @@ ANGLE = "CAST((track_id * 37 + frame_no * 53) % 180 AS DOUBLE)"
 )
 def v09(t):
     angle = ((F.col("track_id") * 37 + F.col("frame_no") * 53) % 180).cast("double")
-    return V.count_reps(t.tracks.select("video_id", "track_id", "frame_no", angle.alias("angle")))
+    return V.count_reps(t.tracks.select("video_id", "track_id", "frame_no", angle.alias("angle"))).drop("angle")
 
 
 @query("v09_keypoint_angle", "det", "SELECT image_id, det_id, round(abs((atan2((y1 + y2) / 2 - y1, (x1 + x2) / 2 - x2) - atan2(0, x1 - x2)) * 180 / pi()), 6) AS angle FROM det")
