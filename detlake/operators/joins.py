@@ -14,7 +14,8 @@ from ..functions.boxes import cols
 from ..functions.rotated import envelope
 
 BOX = ("x1", "y1", "x2", "y2")
-CELL = 256.0
+# grid cell in pixels: a few cells per ordinary photo, so most boxes touch one or two
+CELL = 512.0
 
 
 def _cells(df: DataFrame, box: Sequence[Column], cell: float) -> DataFrame:

@@ -15,51 +15,78 @@ from .joins import BOX, CELL, candidate_pairs, overlap_join
 THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 
 
-def match_pairs(det: DataFrame, pairs: DataFrame, thresholds: Sequence[float] = THRESHOLDS, key="image_id") -> DataFrame:
-    """Turn similar pairs ``(key, det_id, conf, ann_id, sim)`` into true-positive flags.
+def _winners(pairs: DataFrame, thresholds: Sequence[float], key: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Per truth and threshold the detection that gets it: ``key, ann_id, i, det_id, conf`` (i numbers the thresholds).
 
     A detection takes its most similar truth (ties: lowest ``ann_id``). At each threshold a truth then goes to its
     best-scored taker (ties: lowest ``det_id``); a detection that loses is not matched again. The most similar truth does
     not depend on the threshold, so one pass serves all of them. Both steps are aggregates, which combine before the
     shuffle, and so a truth wanted by very many detections does no harm.
-
-    Adds ``tp_mask`` (bit i set: true positive at threshold i) and the matched ``ann_id`` to ``det``.
     """
     best = pairs.groupBy(key, "det_id").agg(
-        F.max(F.struct(F.col("sim"), (-F.col("ann_id")).alias("neg"))).alias("m"), F.max("conf").alias("conf")
-    )
-    taken = best.select(key, "det_id", "conf", F.col("m.sim").alias("sim"), (-F.col("m.neg")).alias("ann_id"))
+        F.max(F.struct(F.col("sim"), (-F.col("ann_id")).alias("neg"))).alias("m"), F.max("conf").alias("conf"),
+        *[F.max(c).alias(c) for c in carry],
+    )
+    taken = best.select(key, "det_id", "conf", *carry, F.col("m.sim").alias("sim"), (-F.col("m.neg")).alias("ann_id"))
     rank = F.struct((-F.col("conf")).alias("c"), F.col("det_id"))
-    winners = taken.groupBy(key, "ann_id").agg(
-        *[F.min(F.when(F.col("sim") >= t, rank)).alias(f"w{i}") for i, t in enumerate(thresholds)]
+    won = taken.groupBy(key, "ann_id").agg(
+        *[F.min(F.when(F.col("sim") >= t, rank)).alias(f"w{i}") for i, t in enumerate(thresholds)],
+        *[F.max(c).alias(c) for c in carry],
     )
-    hits = winners.select(
-        key,
-        "ann_id",
-        F.explode(
-            F.filter(
-                F.array(
-                    *[
-                        F.struct(F.col(f"w{i}.det_id").alias("det_id"), F.lit(1 << i).alias("bit"))
-                        for i in range(len(thresholds))
-                    ]
-                ),
-                lambda s: s["det_id"].isNotNull(),
-            )
-        ).alias("h"),
+    each = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.col(f"w{i}.det_id").alias("det_id"), (-F.col(f"w{i}.c")).alias("conf"))
+            for i in range(len(thresholds))
+        ]
     )
-    mask = hits.groupBy(key, F.col("h.det_id").alias("det_id")).agg(
-        F.bit_or("h.bit").alias("tp_mask"), F.max("ann_id").alias("ann_id")
+    rows = won.select(key, "ann_id", *carry, F.explode(F.filter(each, lambda s: s["det_id"].isNotNull())).alias("h"))
+    return rows.select(key, "ann_id", *carry, "h.*")
+
+
+def match_pairs(det: DataFrame, pairs: DataFrame, thresholds: Sequence[float] = THRESHOLDS, key="image_id") -> DataFrame:
+    """Turn similar pairs ``(key, det_id, conf, ann_id, sim)`` into true-positive flags.
+
+    Adds ``tp_mask`` (bit i set: true positive at threshold i) and the matched ``ann_id`` to ``det``.
+    """
+    bit = F.pow(F.lit(2), F.col("i")).cast("int")
+    mask = _winners(pairs, thresholds, key).groupBy(key, "det_id").agg(
+        F.bit_or(bit).alias("tp_mask"), F.max("ann_id").alias("ann_id")
     )
     out = det.join(mask, [key, "det_id"], "left")
     return out.withColumn("tp_mask", F.coalesce("tp_mask", F.lit(0)))
 
 
+def match_counts(det: DataFrame, pairs: DataFrame, ann: DataFrame, thresholds: Sequence[float] = THRESHOLDS, key="image_id") -> DataFrame:
+    """Detections and true positives per class and confidence: ``cls, conf, n, tp0, tp1, ..., n_truth``.
+
+    All that the curves need. The winners know their class and confidence, so they are counted as they are and never
+    joined back to the detections. The truths of a class are counted in a row without confidence. ``pairs`` carries ``cls``.
+    """
+    k = range(len(thresholds))
+    zero = [F.lit(0).alias(f"tp{i}") for i in k]
+    hits = _winners(pairs, thresholds, key, ("cls",)).select(
+        "cls", "conf", F.lit(0).alias("n"), *[(F.col("i") == i).cast("int").alias(f"tp{i}") for i in k], F.lit(0).alias("n_truth")
+    )
+    rows = det.select("cls", "conf", F.lit(1).alias("n"), *zero, F.lit(0).alias("n_truth"))
+    truth = ann.select("cls", F.lit(None).cast("double").alias("conf"), F.lit(0).alias("n"), *zero, F.lit(1).alias("n_truth"))
+    sums = ["n", *[f"tp{i}" for i in k], "n_truth"]
+    return rows.unionByName(hits).unionByName(truth).groupBy("cls", "conf").agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def _distinct_truth(ann: DataFrame, on: Sequence[str]) -> DataFrame:
     """Of identical truths only the lowest id can ever be chosen; the copies are left out of the join."""
     return ann.groupBy(*on).agg(F.min("ann_id").alias("ann_id"))
 
 
+def box_pairs(det, ann, threshold: float, similarity=S.iou, key="image_id", cell=CELL, strategy="grid") -> DataFrame:
+    """Same-class pairs of boxes that reach ``threshold``: ``key, cls, det_id, conf, ann_id, sim``."""
+    truth = _distinct_truth(ann, (key, "cls", *BOX))
+    pairs = overlap_join(
+        det.select(key, "cls", "det_id", "conf", *BOX), truth, (key, "cls"), threshold, similarity, strategy=strategy, cell=cell
+    )
+    return pairs.select(key, "cls", "det_id", "conf", F.col("b_ann_id").alias("ann_id"), "sim")
+
+
 def match_predictions(
     det: DataFrame,
     ann: DataFrame,
@@ -70,12 +97,12 @@ def match_predictions(
     strategy: str = "grid",
 ) -> DataFrame:
     """Match boxes of the same class by ``similarity`` (a function of two boxes that is 0 for disjoint ones)."""
-    truth = _distinct_truth(ann, (key, "cls", *BOX))
-    pairs = overlap_join(
-        det.select(key, "cls", "det_id", "conf", *BOX), truth, (key, "cls"), min(thresholds), similarity,
-        strategy=strategy, cell=cell,
-    )
-    return match_pairs(det, pairs.select(key, "det_id", "conf", F.col("b_ann_id").alias("ann_id"), "sim"), thresholds, key)
+    return match_pairs(det, box_pairs(det, ann, min(thresholds), similarity, key, cell, strategy), thresholds, key)
+
+
+def evaluation_counts(det, ann, thresholds=THRESHOLDS, similarity=S.iou, key="image_id", cell=CELL, strategy="grid") -> DataFrame:
+    """Match and count in one go; the input of ``metrics.pr_curve`` and all that follows."""
+    return match_counts(det, box_pairs(det, ann, min(thresholds), similarity, key, cell, strategy), ann, thresholds, key)
 
 
 def match_rotated(det: DataFrame, ann: DataFrame, thresholds=THRESHOLDS, key="image_id", cell=CELL) -> DataFrame:

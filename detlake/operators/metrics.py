@@ -27,25 +27,38 @@ def truth_counts(ann: DataFrame) -> DataFrame:
     return ann.groupBy("cls").agg(F.count("*").alias("n_truth"))
 
 
-def pr_curve(matched: DataFrame, ann: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
-    """One row per (class, confidence): counts at this confidence and running counts down to it, per threshold.
-
-    Columns: ``cls, conf, n, tp0.., seen, hit0.., n_truth``; only classes present in the truth.
-    """
+def curve_counts(matched: DataFrame, ann: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """Counts per class and confidence from ``match.match_predictions``, in the form of ``match.evaluation_counts``."""
     k = range(len(thresholds))
     groups = matched.groupBy("cls", "conf").agg(
-        F.count("*").alias("n"), *[F.sum(F.col("tp_mask").bitwiseAND(F.lit(1 << i)) / (1 << i)).cast("bigint").alias(f"tp{i}") for i in k]
+        F.count("*").alias("n"),
+        *[F.count_if(F.col("tp_mask").bitwiseAND(F.lit(1 << i)) > 0).alias(f"tp{i}") for i in k],
     )
+    zero = [F.lit(0).cast("bigint").alias(c) for c in ("n", *[f"tp{i}" for i in k])]
+    truth = truth_counts(ann).select("cls", F.lit(None).cast("double").alias("conf"), *zero, "n_truth")
+    return groups.withColumn("n_truth", F.lit(0).cast("bigint")).unionByName(truth)
+
+
+def pr_curve(counts: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """Running counts down the confidences of each class: ``cls, conf, n, tp0.., seen, hit0.., n_truth``.
+
+    ``counts`` is ``match.evaluation_counts`` or ``curve_counts``. Only classes present in the truth stay. Each class keeps
+    its row without confidence, in front of all others, so that a class without predictions is not lost.
+    """
+    k = range(len(thresholds))
+    groups = counts.select("cls", "conf", "n", *[f"tp{i}" for i in k], F.col("n_truth").alias("_t"))
+    block = F.when(F.col("conf").isNull(), -1).otherwise(conf_block(F.col("conf")))
     run = running(
-        groups, ["cls"], [F.col("conf").desc()], conf_block(F.col("conf")), sums={"seen": "n"} | {f"hit{i}": f"tp{i}" for i in k}
-    )
-    return run.join(truth_counts(ann), "cls")
+        groups, ["cls"], [F.col("conf").desc_nulls_first()], block,
+        sums={"seen": "n", "n_truth": "_t"} | {f"hit{i}": f"tp{i}" for i in k},
+    )
+    return run.filter("n_truth > 0").drop("_t")
 
 
 def pr_points(curve: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """Long form of the curve: ``cls, thr, conf, tp, fp, recall, precision`` at the end of each confidence group."""
     rows = F.array(*[F.struct(F.lit(t).alias("thr"), F.col(f"hit{i}").alias("hit")) for i, t in enumerate(thresholds)])
-    return curve.select("cls", "conf", "seen", "n_truth", F.explode(rows).alias("r")).select(
+    return curve.filter("conf IS NOT NULL").select("cls", "conf", "seen", "n_truth", F.explode(rows).alias("r")).select(
         "cls",
         F.col("r.thr").alias("thr"),
         "conf",
@@ -64,55 +77,62 @@ def _steps_below(x: Column, step: float) -> Column:
 
 
 def _interpolated(curve: DataFrame, thresholds: Sequence[float], points: int) -> DataFrame:
-    """Interpolated precision on an even recall grid: ``cls, thr, i, x, y``.
+    """Interpolated precision on an even recall grid: ``cls, k, thr, g`` with ``g`` an array of ``i, x, y``.
 
     At recall x it is the highest precision of any later point (recall > x). Past the last true positive it falls in a
     straight line to 0 at recall 1. Each curve row votes for the last grid point below its recall; what remains is one row
-    per (class, threshold, grid point).
+    per (class, threshold, grid point), few enough to finish as an array.
     """
     step = 1.0 / (points - 1)
     rows = F.array(
         *[F.struct(F.lit(i).alias("k"), F.col(f"tp{i}").alias("tp"), F.col(f"hit{i}").alias("hit")) for i in range(len(thresholds))]
     )
-    long = curve.select("cls", "seen", "n_truth", F.explode(F.filter(rows, lambda r: r["tp"] > 0)).alias("r"))
-    votes = long.select(
-        "cls",
-        F.col("r.k").alias("k"),
-        (_steps_below(F.col("r.hit") / F.col("n_truth"), step) - 1).alias("i"),
-        (F.col("r.hit") / F.col("seen")).alias("p"),
-    )
-    votes = votes.groupBy("cls", "k", "i").agg(F.max("p").alias("p"))
-    ends = curve.groupBy("cls").agg(
-        F.max("seen").alias("seen"), F.max("n_truth").alias("n_truth"), *[F.max(f"hit{i}").alias(f"hit{i}") for i in range(len(thresholds))]
+    long = curve.select("cls", "seen", "n_truth", F.explode(rows).alias("r"))
+    hit, found = F.col("r.hit"), F.col("r.tp") > 0
+    # a group without a true positive casts no vote but still counts for the curve's end (i = -1)
+    last_below = F.when(found, _steps_below(hit / F.col("n_truth"), step) - 1).otherwise(F.lit(-1))
+    votes = long.groupBy("cls", F.col("r.k").alias("k"), last_below.cast("int").alias("i")).agg(
+        F.max(F.when(found, hit / F.col("seen"))).alias("p"),
+        F.max(hit).alias("hit"),
+        F.max("seen").alias("seen"),
+        F.max("n_truth").alias("n_truth"),
     )
-    lines = F.array(
-        *[F.struct(F.lit(i).alias("k"), F.lit(t).alias("thr"), F.col(f"hit{i}").alias("hit")) for i, t in enumerate(thresholds)]
+    # at most one entry per grid point
+    ends = votes.groupBy("cls", "k").agg(
+        *[F.max(c).alias(c) for c in ("hit", "seen", "n_truth")],
+        F.map_from_entries(F.collect_list(F.when(F.col("i") >= 0, F.struct("i", "p")))).alias("v"),
     )
-    grid = ends.select("cls", "seen", "n_truth", F.explode(lines).alias("r")).select(
-        "cls", "seen", "n_truth", "r.k", "r.thr", "r.hit", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
-    )
-    grid = grid.withColumn("i", F.col("i").cast("bigint"))
-    later = Window.partitionBy("cls", "k").orderBy("i").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    x = F.when(F.col("i") == points - 1, F.lit(1.0)).otherwise(F.col("i") * step)
-    r_end, p_end = F.col("hit") / F.col("n_truth"), F.col("hit") / F.col("seen")
-    tail = F.when((x >= 1.0) | (r_end >= 1.0), F.lit(0.0)).otherwise(p_end - p_end / (1.0 - r_end) * (x - r_end))
-    out = grid.join(votes, ["cls", "k", "i"], "left").withColumn("best", F.max("p").over(later))
-    return out.select("cls", "k", "thr", "i", x.alias("x"), F.coalesce("best", tail).alias("y"))
+    ends = ends.withColumns({"r_end": F.col("hit") / F.col("n_truth"), "p_end": F.coalesce(F.try_divide("hit", "seen"), F.lit(0.0))})
+
+    def value(i, best):
+        x = F.when(i == points - 1, F.lit(1.0)).otherwise(i * step)
+        tail = F.col("p_end") - F.col("p_end") * F.try_divide(x - F.col("r_end"), 1.0 - F.col("r_end"))
+        y = F.coalesce(best, F.when((x >= 1.0) | (F.col("r_end") >= 1.0), F.lit(0.0)).otherwise(tail))
+        return F.struct(i.alias("i"), x.alias("x"), y.alias("y"))
+
+    def back(acc, i):
+        best = F.greatest(acc["best"], F.try_element_at(F.col("v"), i))
+        return F.struct(best.alias("best"), F.concat(F.array(value(i, best)), acc["g"]).alias("g"))
+
+    none = F.array().cast("array<struct<i:int,x:double,y:double>>")
+    start = F.struct(F.lit(None).cast("double").alias("best"), none.alias("g"))
+    grid = F.aggregate(F.sequence(F.lit(points - 1), F.lit(0)), start, back)["g"]
+    thr = F.element_at(F.array(*[F.lit(t) for t in thresholds]), F.col("k") + 1)
+    return ends.select("cls", "k", thr.alias("thr"), grid.alias("g"))
 
 
 def average_precision(curve: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """Area under the interpolated curve (101 points, trapezoids) per class and threshold."""
-    g = _interpolated(curve, thresholds, 101)
-    w = Window.partitionBy("cls", "k").orderBy("i")
-    strip = (F.col("x") - F.lag("x").over(w)) * (F.col("y") + F.lag("y").over(w)) / 2
-    return g.withColumn("s", strip).groupBy("cls", "thr").agg(F.sum("s").alias("ap"))
+    strips = F.zip_with(
+        F.slice("g", 1, 100), F.slice("g", 2, 100), lambda a, b: (b["x"] - a["x"]) * (a["y"] + b["y"]) / 2
+    )
+    area = F.aggregate(strips, F.lit(0.0), lambda s, v: s + v)
+    return _interpolated(curve, thresholds, 101).select("cls", "thr", area.alias("ap"))
 
 
-def ap_per_class(matched: DataFrame, ann: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+def ap_per_class(counts: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """AP of every class present in the truth at every threshold; 0 for a class without predictions."""
-    ap = average_precision(pr_curve(matched, ann, thresholds), thresholds)
-    all_rows = truth_counts(ann).select("cls", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("thr"))
-    return all_rows.join(ap, ["cls", "thr"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+    return average_precision(pr_curve(counts, thresholds), thresholds)
 
 
 def map_summary(ap: DataFrame) -> DataFrame:
@@ -124,22 +144,24 @@ def map_summary(ap: DataFrame) -> DataFrame:
     )
 
 
-def precision_on_recall(matched: DataFrame, ann: DataFrame, points: int = GRID) -> DataFrame:
+def precision_on_recall(counts: DataFrame, points: int = GRID) -> DataFrame:
     """Interpolated precision at overlap 0.50 on an even recall grid: ``cls, i, recall, precision``."""
     t = THRESHOLDS[:1]
-    g = _interpolated(pr_curve(matched, ann, t), t, points)
-    return g.select("cls", "i", F.col("x").alias("recall"), F.col("y").alias("precision"))
+    g = _interpolated(pr_curve(counts, t), t, points)
+    return g.select("cls", F.explode("g").alias("g")).select(
+        "cls", F.col("g.i").cast("bigint").alias("i"), F.col("g.x").alias("recall"), F.col("g.y").alias("precision")
+    )
 
 
-def confidence_curves(matched: DataFrame, ann: DataFrame, points: int = GRID) -> DataFrame:
-    """Precision, recall and F1 at overlap 0.50 against confidence: ``cls, i, conf, p, r, f1``.
+def confidence_curves(counts: DataFrame, points: int = GRID) -> DataFrame:
+    """Precision, recall and F1 at overlap 0.50 against confidence: ``cls, i, conf, p, r, f1, n_truth``.
 
     Values are linear between neighbouring detections, precision 1 and recall 0 above the highest confidence, constant
     below the lowest. Classes without predictions are 0 throughout. Curve rows are first reduced to the highest and the
     lowest confidence of each grid interval.
     """
     step = 1.0 / (points - 1)
-    curve = pr_curve(matched, ann, THRESHOLDS[:1])
+    curve = pr_curve(counts, THRESHOLDS[:1])
     seen0, hit0 = F.col("seen") - F.col("n"), F.col("hit0") - F.col("tp0")
     miss_first = F.col("n") > F.col("tp0")
     first_hit = F.when(miss_first, hit0).otherwise(hit0 + 1)
@@ -153,18 +175,20 @@ def confidence_curves(matched: DataFrame, ann: DataFrame, points: int = GRID) ->
     # last grid point not above the confidence
     at = F.least(_steps_below(F.col("conf"), step), F.lit(points - 1))
     at = at - F.when(at * step > F.col("conf"), 1).otherwise(0)
-    ends = curve.groupBy("cls", at.cast("bigint").alias("i")).agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
-    grid = truth_counts(ann).select(
-        "cls", F.col("n_truth"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))).alias("i")
+    some = F.col("conf").isNotNull()
+    place = F.when(some, at.cast("bigint")).otherwise(F.lit(0))
+    ends = curve.groupBy("cls", place.alias("i")).agg(
+        F.min(F.when(some, row)).alias("lo"), F.max(F.when(some, row)).alias("hi"), F.max("n_truth").alias("n_truth")
     )
-    g = grid.join(ends, ["cls", "i"], "left")
-    by = Window.partitionBy("cls").orderBy("i")
+    per = ends.groupBy("cls").agg(F.max("n_truth").alias("n_truth"), (F.count("lo") > 0).alias("any"))
+    grid = per.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))))
+    g = grid.join(ends.drop("n_truth"), ["cls", "i"], "left")
+    by = Window.partitionBy("cls").orderBy("i")  # one row per grid point
     g = g.withColumns(
         {
             "x": F.when(F.col("i") == points - 1, F.lit(1.0)).otherwise(F.col("i") * step),
             "up": F.first("lo", True).over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
             "down": F.last("hi", True).over(by.rowsBetween(Window.unboundedPreceding, -1)),
-            "any": F.max("lo").over(Window.partitionBy("cls")).isNotNull(),
         }
     )
 
@@ -206,16 +230,16 @@ def best_f1(curves: DataFrame, share: float = 0.1, points: int = GRID) -> DataFr
     )
 
 
-def class_report(matched: DataFrame, ann: DataFrame) -> DataFrame:
+def class_report(counts: DataFrame, ann: DataFrame) -> DataFrame:
     """Per class: images, instances, precision, recall, AP at 0.50 and mean AP; the row with NULL class is the mean."""
-    ap = ap_per_class(matched, ann).groupBy("cls").agg(
+    ap = ap_per_class(counts).groupBy("cls").agg(
         F.max(F.when(F.col("thr") == 0.5, F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap")
     )
     pairs = ann.groupBy("cls", "image_id").agg(F.count("*").alias("n"))
     n = pairs.groupBy("cls").agg(F.count("*").alias("images"), F.sum("n").alias("instances"))
-    point = best_f1(confidence_curves(matched, ann)).select("cls", "p", "r")
+    point = best_f1(confidence_curves(counts)).select("cls", "p", "r")
     rows = n.join(point, "cls").join(ap, "cls")
-    total = ann.select("image_id").distinct().agg(F.count("*").alias("images"))
+    total = pairs.select("image_id").distinct().agg(F.count("*").alias("images"))
     mean = rows.agg(*[F.avg(c).alias(c) for c in ("p", "r", "ap50", "ap")], F.sum("instances").alias("instances"))
     # one row on each side
     mean = mean.join(F.broadcast(total)).withColumn("cls", F.lit(None).cast("int"))

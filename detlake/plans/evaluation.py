@@ -26,6 +26,10 @@ def matched(t):
     return M.match_predictions(_det(t), _gt(t)).select("image_id", "det_id", "cls", "conf", "tp_mask", "ann_id")
 
 
+def counted(t):
+    return M.evaluation_counts(_det(t), _gt(t))
+
+
 # matching straight from its definition: per threshold, best truth per detection, then best-ranked detection per truth
 MATCH = """
 pr AS ({pairs}),
@@ -143,18 +147,18 @@ ap AS (SELECT cls, thr, coalesce(ap, 0) AS ap FROM nl CROSS JOIN """ + THR + """
     " FROM (SELECT cv.*, tpc::DOUBLE / n AS r, tpc::DOUBLE / i AS p FROM cv) z GROUP BY cls, thr, conf",
 )
 def a01(t):
-    p = A.pr_points(A.pr_curve(matched(t), _gt(t)))
+    p = A.pr_points(A.pr_curve(counted(t)))
     return p.select("cls", "thr", *r6(conf=F.col("conf")), "tp", "fp", *r6(recall=F.col("recall"), precision=F.col("precision")))
 
 
 @query("a02_average_precision", "det gt", f"WITH {AP101} SELECT cls, thr, round(ap, 6) AS ap FROM ap0")
 def a02(t):
-    ap = A.average_precision(A.pr_curve(matched(t), _gt(t)))
+    ap = A.average_precision(A.pr_curve(counted(t)))
     return ap.select("cls", "thr", *r6(ap=F.col("ap")))
 
 
 def _ap(t):
-    return A.ap_per_class(matched(t), _gt(t))
+    return A.ap_per_class(counted(t))
 
 
 @query("a03_ap_per_class", "det gt", f"WITH {AP101} SELECT cls, thr, round(ap, 6) AS ap FROM ap")
@@ -172,7 +176,7 @@ def a04(t):
 
 @query("a05_precision_on_recall", "det gt", f"WITH {AP.format(last=999)} SELECT cls, g AS i, round(x, 6) AS recall, round(y, 6) AS precision FROM ip WHERE thr = 0.5")
 def a05p(t):
-    c = A.precision_on_recall(matched(t), _gt(t))
+    c = A.precision_on_recall(counted(t))
     return c.select("cls", "i", *r6(recall=F.col("recall"), precision=F.col("precision")))
 
 
@@ -187,7 +191,7 @@ cf AS (SELECT *, 2 * p * r / (p + r + 1e-16) AS f1 FROM cc)"""
 
 
 def _curves(t):
-    return A.confidence_curves(matched(t), _gt(t))
+    return A.confidence_curves(counted(t))
 
 
 @query("a05_confidence_curves", "det gt", f"WITH {CONF} SELECT cls, g AS i, round(x, 6) AS conf, round(p, 6) AS p, round(r, 6) AS r, round(f1, 6) AS f1 FROM cf")
@@ -221,7 +225,7 @@ UNION ALL SELECT NULL, (SELECT count(DISTINCT image_id) FROM gt), CAST(sum(insta
 
 @query("a07_class_report", "det gt", REPORT.replace("gr AS (SELECT range AS g, CASE WHEN range = 999", "gr2 AS (SELECT range AS g, CASE WHEN range = 999").replace("q JOIN gr ON", "q JOIN gr2 ON").replace("gr.x", "gr2.x").replace("CROSS JOIN gr LEFT", "CROSS JOIN gr2 LEFT"))
 def a07(t):
-    r = A.class_report(matched(t), _gt(t))
+    r = A.class_report(counted(t), _gt(t))
     return r.select("cls", "images", "instances", *r6(**{c: F.col(c) for c in ("p", "r", "ap50", "ap")}))
 
 

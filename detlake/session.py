@@ -17,6 +17,9 @@ def local_session(cores: str | int = 8, app: str = "detlake", **conf) -> SparkSe
         .config("spark.driver.memory", os.environ.get("DETLAKE_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        # small tables, heavy expressions: keep all cores busy instead of merging partitions to megabytes
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.files.maxPartitionBytes", "4m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
