@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
+def _blocked(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+    """Rows with their block. The joins below drop NULL keys anyway; saying so here keeps both of their inputs the same
+    plan, so that Spark computes it once."""
+    out = df.withColumn("_blk", block)
+    for c in (*keys, "_blk"):
+        out = out.filter(F.col(c).isNotNull())
+    return out
+
+
 _BEFORE = (Window.unboundedPreceding, -1)
 _UPTO = (Window.unboundedPreceding, Window.currentRow)
 
@@ -30,7 +39,7 @@ def running(
     ``sums`` and ``maxima`` map new column names to existing ones. ``block`` must not decrease along ``order``.
     """
     sums, maxima = sums or {}, maxima or {}
-    df = df.withColumn("_blk", block)
+    df = _blocked(df, keys, block)
     per_block = df.groupBy(*keys, "_blk").agg(
         *[F.sum(c).alias(f"_b_{n}") for n, c in sums.items()], *[F.max(c).alias(f"_b_{n}") for n, c in maxima.items()]
     )
@@ -57,7 +66,7 @@ def previous(
 
     With ``when`` only rows that satisfy it count as earlier rows (the last such row is looked up).
     """
-    df = df.withColumn("_blk", block)
+    df = _blocked(df, keys, block)
     row = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
     rank = F.struct(*[F.col(c) for c in order])
     src = df if when is None else df.filter(when)
@@ -78,7 +87,7 @@ def trailing(df: DataFrame, keys, order: str, block: Column, value: Column, n: i
     A row early in a block also needs values from before it. Each (key, block) hands on its last ``n - 1`` values; the last
     ``n - 1`` non-empty blocks together always hold enough of them.
     """
-    d = df.withColumn("_blk", block)
+    d = _blocked(df, keys, block)
     item = F.struct(F.col(order).alias("o"), value.alias("v"))
     newest = Window.partitionBy(*keys, "_blk").orderBy(F.col(order).desc())
     tails = d.select(*keys, "_blk", item.alias("_t"), F.row_number().over(newest).alias("_r")).filter(F.col("_r") < n)
