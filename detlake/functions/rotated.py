@@ -102,26 +102,33 @@ def covariance(w, h, r) -> tuple[Column, Column, Column]:
     return a * c * c + b * s * s, a * s * s + b * c * c, (a - b) * c * s
 
 
-def gaussian_overlap(a, b, eps=1e-7, aspect=False) -> Column:
-    """Similarity of two rotated boxes through the Hellinger distance of their Gaussians.
+def gaussian(cx, cy, w, h, r) -> Column:
+    """What the similarity needs of a box, for computing it once per box instead of once per pair."""
+    p, q, c = covariance(w, h, r)
+    parts = {"x": col(cx), "y": col(cy), "p": p, "q": q, "c": c, "own": F.greatest(p * q - c * c, F.lit(0.0))}
+    return F.struct(*[v.alias(k) for k, v in parts.items()])
 
-    ``a`` and ``b`` are five Columns each. ``aspect`` subtracts a penalty for different aspect ratios.
-    """
-    xa, ya, wa, ha, ra = cols(*a)
-    xb, yb, wb, hb, rb = cols(*b)
-    p1, q1, c1 = covariance(wa, ha, ra)
-    p2, q2, c2 = covariance(wb, hb, rb)
-    p, q, c = p1 + p2, q1 + q2, c1 + c2
+
+def gaussian_similarity(a: Column, b: Column, eps=1e-7) -> Column:
+    """Similarity of two ``gaussian`` structs through their Hellinger distance."""
+    p, q, c = a["p"] + b["p"], a["q"] + b["q"], a["c"] + b["c"]
     det = p * q - c * c
-    dx, dy = xa - xb, ya - yb
+    dx, dy = a["x"] - b["x"], a["y"] - b["y"]
     spread = (p * dy * dy + q * dx * dx) / (det + eps) * 0.25
     cross = (c * (-dx) * dy) / (det + eps) * 0.5
-    own = F.greatest(p1 * q1 - c1 * c1, F.lit(0.0)) * F.greatest(p2 * q2 - c2 * c2, F.lit(0.0))
-    shape = F.log(det / (4 * F.sqrt(own) + eps) + eps) * 0.5
+    shape = F.log(det / (4 * F.sqrt(a["own"] * b["own"]) + eps) + eps) * 0.5
     dist = F.least(F.greatest(spread + cross + shape, F.lit(eps)), F.lit(100.0))
-    sim = 1 - F.sqrt(1.0 - F.exp(-dist) + eps)
-    if not aspect:
-        return sim
+    return 1 - F.sqrt(1.0 - F.exp(-dist) + eps)
+
+
+def gaussian_overlap(a, b, eps=1e-7, aspect=False) -> Column:
+    """Similarity of two rotated boxes, five Columns each. ``aspect`` subtracts a penalty for different aspect ratios."""
+    sim = gaussian_similarity(gaussian(*a), gaussian(*b), eps)
+    return aspect_penalty(sim, a, b, eps) if aspect else sim
+
+
+def aspect_penalty(sim: Column, a, b, eps=1e-7) -> Column:
+    (wa, ha), (wb, hb) = cols(*a[2:4]), cols(*b[2:4])
     v = (4 / math.pi**2) * F.pow(F.atan(wb / hb) - F.atan(wa / ha), 2.0)
     return sim - v * (v / (v - sim + (1 + eps)))
 

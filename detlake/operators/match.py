@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
-from ..functions.rotated import envelope, gaussian_overlap, reach
+from ..functions.rotated import envelope, gaussian, gaussian_similarity, reach
 from .joins import BOX, CELL, candidate_pairs, overlap_join
 
 # The ten overlap thresholds of the evaluation.
@@ -122,14 +122,15 @@ def rotated_pairs(a, b, keys, threshold, condition=None, cell=CELL) -> DataFrame
         return [F.col("cx") - s, F.col("cy") - s, F.col("cx") + s, F.col("cy") + s]
 
     def sim(L, R):
-        return gaussian_overlap([L(c) for c in rb], [R(c) for c in rb])
+        return gaussian_similarity(L("_g"), R("_g"))
 
     def ok(L, R):
         c = sim(L, R) >= threshold
         return c if condition is None else condition(L, R) & c
 
+    a, b = (d.withColumn("_g", gaussian(*rb)) for d in (a, b))
     pairs = candidate_pairs(a, b, keys, a_box=square(), b_box=square(), condition=ok, cell=cell)
-    return pairs.withColumn("sim", sim(F.col, lambda c: F.col(f"b_{c}")))
+    return pairs.withColumn("sim", sim(F.col, lambda c: F.col(f"b_{c}"))).drop("_g", "b__g")
 
 
 def match_keypoints(det, ann, sigmas: Sequence[float], thresholds=THRESHOLDS, key="image_id", cell=CELL) -> DataFrame:

@@ -123,6 +123,12 @@ def with_global_rank(df: DataFrame, *order: str, name: str = "rank", parts: int
     return out.drop("_pos", "_part", "_row", "_start")
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partition by key for Python work. The explicit number keeps small but slow partitions from being merged."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def stream_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], start, step, schema: str) -> DataFrame:
     """Run a sequential fold over each key's ordered rows, holding one state at a time.
 
@@ -147,4 +153,4 @@ def stream_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], star
                 if out is not None and len(out):
                     yield out
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return spread(df, keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -38,9 +38,23 @@ def snap_full_image(df: DataFrame, iou: float = 0.9) -> DataFrame:
     return df.withColumns({c: F.when(near, whole[c]).otherwise(F.col(c)) for c in BOX})
 
 
+# up to this many rows per group Spark trims every input partition by itself before a ranking shuffle
+SMALL_LIMIT = 1000
+SALTS = 64
+
+
 def top_per_group(df: DataFrame, n: int, keys: Sequence[str] = ("image_id",), score="conf", uid="det_id") -> DataFrame:
-    """Best ``n`` rows per group by score. Spark trims each input partition to n rows per group before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), uid)
+    """Best ``n`` rows per group by score.
+
+    For large ``n`` a group is first ranked in salted parts, so that a group that holds much of the table reaches the final
+    ranking with at most ``SALTS * n`` rows.
+    """
+    order = [F.col(score).desc(), F.col(uid)]
+    if n > SMALL_LIMIT:
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(uid), F.lit(SALTS)))
+        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = df.withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= n).drop("_rn", "_salt")
+    w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
@@ -105,7 +119,7 @@ def nms(
     """Non-maximum suppression per image, and per class unless ``agnostic``.
 
     Groups are bounded before anything is collected: each image keeps its best ``max_nms`` candidates, which is part of
-    the operator's definition. One shuffle by image serves the cap, the grouping and the final cut.
+    the operator's definition. After it one partitioning by image serves the cap, the grouping and the final cut.
     """
     cand = top_per_group(keep(det, conf, classes), max_nms, (key,), "conf", uid)
     rest = [c for c in det.columns if c not in (key, "cls", *BOX)]

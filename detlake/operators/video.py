@@ -66,8 +66,10 @@ def count_crossings(tracks: DataFrame, regions: DataFrame) -> DataFrame:
     n = c.groupBy("region_id", "video_id", "cls").agg(
         F.count_if(F.col("direction") == "IN").alias("n_in"), F.count_if(F.col("direction") == "OUT").alias("n_out")
     )
-    # small lists: the distinct classes of each video times the configured regions
-    seen = tracks.select("video_id", "cls").distinct().join(F.broadcast(regions.select("region_id")))
+    # one row: the ids of the configured regions
+    ids = regions.agg(F.collect_list("region_id").alias("_ids"))
+    seen = tracks.select("video_id", "cls").distinct().join(F.broadcast(ids))
+    seen = seen.select("video_id", "cls", F.explode("_ids").alias("region_id"))
     out = seen.join(n, ["region_id", "video_id", "cls"], "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_in", "n_out")})
 

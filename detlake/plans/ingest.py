@@ -407,11 +407,26 @@ def c03(t):
     return t.table("orders").select("o_orderkey", X.format_g(p).alias("a"), X.format_g(p * 1000).alias("b"), X.format_g(p / 1e11).alias("c"))
 
 
-@query("c04_class_names", "", "SELECT CAST(r_regionkey AS INT) AS cls, r_name AS name, CAST(count(*) OVER (PARTITION BY r_name) AS BIGINT) AS uses FROM region")
+@query(
+    "c04_class_names", "",
+    "WITH n AS (SELECT CASE WHEN n_nationkey % 7 = 3 THEN 'x' || n_nationkey WHEN n_nationkey % 7 = 5 THEN '' || (n_nationkey + 100) ELSE '' || n_nationkey END AS cls, n_name AS name FROM nation), k AS (SELECT TRY_CAST(cls AS INT) AS cls, name, count(*) OVER () AS n FROM n)"
+    " SELECT cls, name, CASE WHEN cls IS NULL THEN 'not a number' WHEN cls >= n THEN 'out of range' END AS problem FROM k",
+)
 def c04(t):
-    names = t.table("region").select(F.col("r_regionkey").cast("int").alias("cls"), F.col("r_name").alias("name"))
-    uses = names.groupBy("name").agg(F.count("*").alias("uses"))
-    return names.join(uses, "name").select("cls", "name", "uses")
+    k = F.col("n_nationkey")
+    key = F.when(k % 7 == 3, F.concat(F.lit("x"), k.cast("string"))).when(k % 7 == 5, (k + 100).cast("string")).otherwise(k.cast("string"))
+    return FM.check_class_names(t.table("nation").select(key.alias("cls"), F.col("n_name").alias("name")))
+
+
+@query("c05_tile_parts", "obb", "SELECT 'P' || image_id AS image_id, det_id, CAST(image_id % 4 * 200 AS DOUBLE) AS tile_x, CAST(det_id * 100 AS DOUBLE) AS tile_y FROM obb")
+def c05(t):
+    from ..operators.suppress import tile_parts
+
+    i, k = F.col("image_id"), F.col("det_id")
+    tile = F.concat(F.lit("P"), i.cast("string"), F.lit("__1024__"), (i % 4 * 200).cast("string"), F.lit("___"), (k * 100).cast("string"))
+    d = t.obb.select(tile.alias("image_id"), "det_id")
+    p = tile_parts()
+    return d.select("det_id", *[c.alias(n) for n, c in p.items()])
 
 
 @query("c06_sha256", "", "SELECT doc_id, sha256(text) AS digest FROM documents")

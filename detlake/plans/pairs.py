@@ -129,7 +129,7 @@ def m06(t):
     o = t.obb.select("image_id", "det_id", "cx", "cy", "w", "h", "r")
     p = rotated_pairs(o, o, ["image_id"], 0.2, lambda L, Rr: L("det_id") < Rr("det_id"))
     rb = ("cx", "cy", "w", "h", "r")
-    asp = R.gaussian_overlap([F.col(c) for c in rb], [F.col(f"b_{c}") for c in rb], aspect=True)
+    asp = R.aspect_penalty(F.col("sim"), rb, [f"b_{c}" for c in rb])
     return p.select(
         "image_id", F.col("det_id").alias("det_a"), F.col("b_det_id").alias("det_b"), *r6(sim=F.col("sim"), with_aspect=asp)
     )

@@ -129,6 +129,17 @@ def read_xview(spark, path, images, multiline=True) -> DataFrame:
     return parse_xview(f.filter(F.coalesce("bounds", F.lit("")) != ""), images)
 
 
+def check_class_names(names: DataFrame) -> DataFrame:
+    """Class table ``cls, name`` with whole-number ids; ``problem`` says what is wrong with a row, NULL when it is fine.
+
+    Ids must lie in 0 .. n - 1 for n classes.
+    """
+    n = names.agg(F.count("*").alias("_n"))  # one row
+    out = names.select(F.col("cls").try_cast("int").alias("cls"), F.col("name").cast("string").alias("name")).join(F.broadcast(n))
+    problem = F.when(F.col("cls").isNull(), "not a number").when((F.col("cls") < 0) | (F.col("cls") >= F.col("_n")), "out of range")
+    return out.select("cls", "name", problem.alias("problem"))
+
+
 def concat_datasets(*dfs: DataFrame) -> DataFrame:
     """Datasets one after the other; columns missing in one are NULL there. ``source`` numbers the parts."""
     out = None
