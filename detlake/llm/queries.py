@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_duplicates, packing, repeats, toxicity
+from . import decontaminate, near_duplicates, oracles, packing, repeats, toxicity
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_near_duplicates": oracles.OP7, "op10_repeats": oracles.OP10}
 
 
 def query(fn):
