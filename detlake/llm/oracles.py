@@ -35,3 +35,27 @@ kept AS (SELECT w.doc_id, string_agg(x, ' ' ORDER BY w.i) AS t FROM word w ANTI
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(len(r.off), 0)::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM doc d LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
+
+_ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
+
+OP2 = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t.i, CASE WHEN t.i = 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) AS t(i))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) + 23)::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+OP8 = """
+WITH good AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM good q JOIN good c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM pairs)
+WHERE rank <= 5
+"""

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_duplicates, oracles, packing, repeats, toxicity
+import public_tokenizers
+
+from ..session import scratch_path
+from . import chat, decontaminate, html_templates, language_model, maxscore, near_duplicates, oracles, packing, repeats, token_files, toxicity
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {"op7_near_duplicates": oracles.OP7, "op10_repeats": oracles.OP10}
+ORACLES: dict[str, str] = {"op2_chat": oracles.OP2, "op8_top_k": oracles.OP8, "op7_near_duplicates": oracles.OP7, "op10_repeats": oracles.OP10}
 
 
 def query(fn):
@@ -31,6 +34,31 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.distance", "leak.start", "leak.end")
 
 
+@query
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one whose texts look like control strings, rendered and read back."""
+    odd = spark.sql("SELECT -1L AS conv_id, turn, IF(turn = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2) AS t(turn)")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
+    done = chat.read_back(chat.render(chat.fold(rows.withColumnRenamed("turn", "seq"))))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    learned = F.array_join("learned", "")
+    return done.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query
+def op3_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score(table(spark, folder, "documents"), remainder(10) != 0)
+
+
+@query
+def op4_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_templates.extract(table(spark, folder, "pages"))
+
+
 def toxicity_grammar(spark: SparkSession, docs: DataFrame, folder: str) -> toxicity.Grammar:
     return toxicity.fit(docs, table(spark, folder, "labels"), remainder(3) != 1)
 
@@ -43,11 +71,25 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"))
 
 
+@query
+def op6_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Token files of all documents, written and read again."""
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    read = token_files.read_tokens(spark, path)
+    return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op8_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return maxscore.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.measured(table(spark, folder, "documents")))
