@@ -23,7 +23,7 @@ END = b"\n"
 #: class of those, and classes of all other words.
 LISTED, FREQUENT, CLASS, OTHERS = 100_000, 2048, 64, 96
 #: Hidden units, steps of a truncated window, texts side by side in training and in scoring.
-HIDDEN, WINDOW, TRAIN_LANES, LANES = 24, 24, 32, 512
+HIDDEN, WINDOW, TRAIN_LANES, LANES = 24, 24, 48, 512
 #: Share of the training texts that the weights see (one in so many, another share each round), rounds, and texts of one replica on
 #: average. The counts behind every probability come from all training texts.
 ONE_IN, ROUNDS, REPLICA = 16, 2, 1500
@@ -105,10 +105,9 @@ def output_class(symbols: np.ndarray) -> np.ndarray:
 
 
 def _normal(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    logits -= logits.max(axis=1, keepdims=True)
+    """Exponentials and their sums per row. Logits stay small (frequencies and clipped steps), so none overflows."""
     e = np.exp(logits)
-    total = e.sum(axis=1, keepdims=True)
-    return e / total, np.log(total[:, 0])
+    return e, e.sum(axis=1)
 
 
 def outputs(p: dict, h: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -120,9 +119,10 @@ def outputs(p: dict, h: np.ndarray, target: np.ndarray, grads: dict | None = Non
     cls = output_class(target)
     logits = h @ p["wc"] + p["bc"]
     prob, z = _normal(logits)
-    logp = logits[row, cls] - z
+    logp = logits[row, cls] - np.log(z)
     back = None
     if grads is not None:
+        prob /= z[:, None]
         prob[row, cls] -= 1
         grads["wc"] += h.T @ prob
         grads["bc"] += prob.sum(0)
@@ -136,8 +136,9 @@ def outputs(p: dict, h: np.ndarray, target: np.ndarray, grads: dict | None = Non
         own = np.arange(len(at))
         logits = h[at] @ p["ww"][words].T + p["bw"][words]
         prob, z = _normal(logits)
-        logp[at] += logits[own, within] - z
+        logp[at] += logits[own, within] - np.log(z)
         if grads is not None:
+            prob /= z[:, None]
             prob[own, within] -= 1
             grads["ww"][words] += prob.T @ h[at]
             grads["bw"][words] += prob.sum(0)
@@ -243,8 +244,18 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The most frequent words, at most LISTED, and the totals of the rest. The end token is always among the first."""
-    top = counts.orderBy(F.col("word") != END, F.desc("n"), "word").limit(LISTED).collect()
+    """The most frequent words, at most LISTED, and the totals of the rest. The end token is always among the first.
+
+    How many words are how frequent is counted first (in steps of a 64th of a power of two), so that no task sends more than
+    it has of the listed words.
+    """
+    size = F.floor(F.log2("n") * 64)
+    listed, least = 0, 1 << 62
+    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("v")).collect(), reverse=True):
+        if listed + r.v >= LISTED:
+            break
+        listed, least = listed + r.v, r["size"]
+    top = counts.where((size >= least) | (F.col("word") == END)).collect()
     top.sort(key=lambda r: (-r.n, bytes(r.word)))
     if END not in (bytes(r.word) for r in top[:FREQUENT]):
         top.sort(key=lambda r: bytes(r.word) != END)
