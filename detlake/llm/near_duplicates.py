@@ -16,6 +16,8 @@ from .words import NO_ID, Rolling, as_long, blobs, known_id, mix, packed, per_ba
 SHINGLE, PERCENT = 5, 75
 #: Sketch coordinates and bands. A pair at 0.75 misses all 32 bands of four coordinates with probability 6e-6, at 0.8 with 5e-8.
 COORDINATES, BANDS = 128, 32
+#: Bits of the longer sketch, a multiple of 64.
+BITS = 1024
 
 
 def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -94,23 +96,34 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return per_batch(both.select("u", "v", "a", "b"), check, "u long, v long")
 
 
-def _level(c: str):
-    """Geometric level of a node: trailing zero bits of a hash of its id."""
-    h = F.xxhash64(F.lit(7), F.col(c))
-    return F.coalesce(F.log2(h.bitwiseAND(-h).cast("double")).cast("int"), F.lit(63))
+def _signed(texts: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """One bit of each of ``bits`` further sketch coordinates, 64 to a long."""
+
+    def run(b: pa.RecordBatch) -> dict:
+        rows = [mix(sketch(mix(shingle_set(unpack(t), shingle)), bits)) & np.uint64(1) for t in blobs(b, "data")]
+        packed_rows = [as_long(np.packbits(r.astype(np.uint8)).view(np.uint64)) for r in rows]
+        return {"rep": b.column("d"), "bits": pa.array(packed_rows, pa.list_(pa.int64()))}
+
+    return per_batch(texts, run, "rep long, bits array<long>")
+
+
+def _close(bits: int, percent: int) -> int:
+    """Equal bits that a pair at the threshold has, less 4.5 standard deviations (3 pairs in a million fall below)."""
+    p = (1 + percent / 100) / 2
+    return int(bits * p - 4.5 * (bits * p * (1 - p)) ** 0.5)
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
-    coordinates: int = COORDINATES, bands: int = BANDS,
+    coordinates: int = COORDINATES, bands: int = BANDS, bits: int = BITS,
 ) -> DataFrame:
     """``(id_col, n_shingles, component_id, kept)`` per row of ``docs``: documents linked, directly or through others, by
     100 * intersection >= percent * union of their shingle sets.
 
     Documents with equal sets are one class, found by an aggregate, and their smallest id stands for the class. Members of
-    each band bucket are verified against the bucket's smallest member. Whatever a bucket still holds in different
-    components is then compared again: with ever larger random parts of the bucket (an eighth of a thousandth, a
-    sixteenth, all), so that no candidate pair across components stays unchecked and pairs inside a component are never made.
+    each band bucket are verified against the bucket's smallest member. If a bucket still holds several components after that, its
+    members get a longer sketch of single bits, compared inside the join: only pairs across components whose bits are as close as
+    the threshold demands leave the join, each from the first bucket the two share, and are verified on their full sets.
 
     Null or empty texts and texts without words have an empty set and stay alone. Rows that share an id are one document,
     with the links of all their texts. A null id takes no part: component null, kept. Extra columns are ignored.
@@ -128,35 +141,35 @@ def near_duplicates(
     members = materialize(banded.join(shared.hint("shuffle_hash"), "key"), "members")
     wanted = members.select(F.col("rep").alias("d")).distinct()
     texts = materialize(packed(base, "data").join(wanted, "d"), "texts")
-    pairs = members.where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct()
+    pairs = materialize(members.where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct(), "pairs")
     # ids of one document with several texts and of classes that share a document are links too
     links = materialize(_verified(pairs, texts, shingle, percent), "verified")
     same_id = linked.select("d", "hi", "lo").distinct().join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).where("d <> rep")
     doubled = materialize(linked.select("d", "hi", "lo").distinct().groupBy("d").count().where("count > 1").select("d"), "doubled")
     links = links.unionByName(same_id.join(doubled, "d", "left_semi").select(F.col("d").alias("u"), F.col("rep").alias("v")))
-    for level in (9, 4, 0):
-        labels = materialize(components(links), "labels")
-        now = materialize(
-            members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "now"
-        )
-        mixed = materialize(
-            now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key"), "mixed"
-        )
-        left = materialize(now.join(mixed.hint("shuffle_hash"), "key", "left_semi"), "left")
-        if left.isEmpty():
-            break
-        one = left.select("key", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), "lead")
-        two = left.where(_level("rep") >= level).select("key", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-        near = (F.col("cu") != F.col("cv")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-        untried = (F.col("u") != F.col("lead")) & (F.col("v") != F.col("lead")) & near
-        if level == 0:
-            untried &= F.col("u") > F.col("v")
-        more = (
-            one.join(two, "key").where(untried)
-            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        )
+    labels = materialize(components(links), "labels")
+    now = materialize(
+        members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "now"
+    )
+    mixed = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    left = materialize(now.join(materialize(mixed, "mixed").hint("shuffle_hash"), "key", "left_semi"), "left")
+    if not left.isEmpty():
+        ids = materialize(left.select("rep").distinct(), "ids")
+        signs = _signed(texts.join(ids.withColumnRenamed("rep", "d"), "d", "left_semi"), shingle, bits)
+        signs = materialize(signs.join(classes.select("rep", "keys"), "rep"), "signs")
+        wide = materialize(left.join(signs, "rep"), "wide")
+        size = bits // 64
+
+        def side(name: str) -> DataFrame:
+            words = [F.col("bits")[i].alias(f"{name}{i}") for i in range(size)]
+            return wide.select("key", F.col("rep").alias(name), F.col("n").alias(f"n{name}"), F.col("component").alias(f"c{name}"), F.col("keys").alias(f"k{name}"), *words)
+
+        apart = sum((F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(size)), F.lit(0))
+        far = (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+        first = F.col("key") == F.array_min(F.array_intersect("ku", "kv"))
+        more = side("u").join(side("v"), "key").where(far & (apart <= bits - _close(bits, percent)) & first).select("u", "v")
+        more = materialize(more.join(pairs, ["u", "v"], "left_anti"), "more")
         links = materialize(links.unionByName(_verified(more, texts, shingle, percent)), "verified")
-    else:
         labels = materialize(components(links), "labels")
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "hi", "lo", F.coalesce("component", "rep").alias("component")
