@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from hashlib import sha256
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from tokenizers import Tokenizer
 from .words import known_id, present
 
 #: Bytes of a shard's documents before a new shard begins, words a task remembers, and the dictionary's size and sample.
-SHARD_BYTES, REMEMBERED, DICTIONARY_BYTES, SAMPLED_ROWS = 4 << 20, 300_000, 64 << 10, 1000
+SHARD_BYTES, REMEMBERED, DICTIONARY_BYTES, SAMPLED_ROWS = 4 << 20, 400_000, 64 << 10, 1000
 #: First bytes of a shard; then the dictionary's sha256, the number of documents, and their index.
 MAGIC = b"TOKENS01"
 _HEAD = struct.Struct("<8s32sQ")
@@ -25,6 +27,11 @@ _HEAD = struct.Struct("<8s32sQ")
 ENTRY = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("n", "<i8"), ("offset", "<i8"), ("size", "<i8")])
 
 
+# How byte-level tokenizers write a byte: printable ones as themselves, the others in order from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class Encoder:
     """Encodes texts word by word. The tokenizer drops white space and never joins across it, so a word's ids do not depend
     on its neighbours; words seen before are looked up, new ones are encoded together, cut apart at a special token."""
@@ -32,14 +39,46 @@ class Encoder:
     def __init__(self, path: str, cut: str = "<|endoftext|>"):
         self.tokenizer = Tokenizer.from_file(path)
         self.cut, self.cut_id = cut, self.tokenizer.token_to_id(cut)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.kind = np.dtype("H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I")
         self.known: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
 
     def _raw(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        out = {}
+    def _simple(self, word: bytes) -> bytes | None:
+        """Ids of a Latin word with punctuation behind it: the tokenizer makes two pieces of it, whose ids can be kept apart.
+
+        The model's own merges are asked for the letters, in the form that normalisation and byte mapping give them.
+        """
+        core = word.rstrip(b".,;:!?")
+        ids = self.cores.get(core)
+        if ids is None:
+            if core.isalpha():  # ASCII letters
+                mapped = core.lower().decode()
+            else:
+                letters = normalize("NFC", core.decode("utf-8", "replace")).lower()
+                if not letters.isalpha() or max(letters) >= "\u0250":  # beyond Latin, lower case may depend on context
+                    return None
+                mapped = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = array(self.kind.char, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+            if len(self.cores) < REMEMBERED:
+                self.cores[core] = ids
+        tail = word[len(core) :]
+        if tail:
+            if tail not in self.cores:
+                self.cores[tail] = self._raw(tail.decode()).tobytes()
+            ids += self.cores[tail]
+        return ids
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out, new = {}, []
+        for w in words:
+            ids = self._simple(w)
+            if ids is None:
+                new.append(w)
+            else:
+                out[w] = ids
         for a in range(0, len(new), 2000):
             part = [w.decode("utf-8", "replace") for w in new[a : a + 2000]]
             odd = [i for i, w in enumerate(part) if self.cut in w]
@@ -55,14 +94,16 @@ class Encoder:
     def encode(self, texts: list[bytes], last: int) -> Iterator[bytes]:
         """The ids of each text and the end id, as little-endian integers of ``kind``."""
         end = np.array([last], self.kind).tobytes()
-        for a in range(0, len(texts), 500):  # new words of so many texts are encoded together
-            words = [t.split() for t in texts[a : a + 500]]
-            new = self._learn(list({w for ws in words for w in ws if w not in self.known}))
-            look = self.known if not new else {**{w: self.known[w] for ws in words for w in ws if w in self.known}, **new}
+        look = self.known.__getitem__
+        for a in range(0, len(texts), 1000):  # new words of so many texts are encoded together
+            words = [t.split() for t in texts[a : a + 1000]]
+            new = list(set().union(*words) - self.known.keys())
+            self.known.update(self._learn(new))
             for ws in words:
-                yield b"".join([look[w] for w in ws]) + end
-            if len(self.known) < REMEMBERED:
-                self.known.update(new)
+                yield b"".join(map(look, ws)) + end
+            if len(self.known) > REMEMBERED:  # early words are the frequent ones: they stay
+                for w in new:
+                    del self.known[w]
 
 
 _encoders: dict[str, Encoder] = {}
