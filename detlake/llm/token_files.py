@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from .words import known_id, present
+from .words import bounded_sample, known_id, present
 
 #: Bytes of a shard's documents before a new shard begins, words a task remembers, and the dictionary's size and sample.
 SHARD_BYTES, REMEMBERED, DICTIONARY_BYTES, SAMPLED_ROWS = 4 << 20, 400_000, 64 << 10, 1000
@@ -149,7 +149,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, text_col: str
     """Dictionary from the serialized ids of ``rows`` texts at most, the first by hash. Of each sampled text the whole id array
     is one sample. Too few samples: an empty dictionary."""
     sample = docs.where(F.col(text_col).isNotNull()).select(present(text_col).alias("data")).where(F.length("data").between(1, 1 << 16))
-    sample = sample.orderBy(F.xxhash64("data"), "data").limit(rows)
+    sample = bounded_sample(sample, rows, "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

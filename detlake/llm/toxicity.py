@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import per_batch, present
+from .words import bounded_sample, per_batch, present
 
 # Closed word classes of the grammar.
 THREATS = "kill hurt destroy attack burn shoot stab beat punish crush".split()
@@ -106,10 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     At most ``rows`` labelled ids are used, the first by hash; that many 9-byte rows are the proven bound of the broadcast.
     Without toxic or without clean rows the grammar has no insults and scores every text the same.
     """
-    known = (
-        labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).where(training)
-        .select(F.col(id_col).cast("long").alias("d"), (F.col("toxic") == 1).alias("toxic")).orderBy(F.xxhash64("d"), "d", "toxic").limit(rows)
-    )
+    known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).where(training)
+    known = bounded_sample(known.select(F.col(id_col).cast("long").alias("d"), (F.col("toxic") == 1).alias("toxic")), rows, "d", "toxic")
     texts = docs.select(F.col(id_col).cast("long").alias("d"), present(text_col).alias("data")).join(F.broadcast(known), "d")
 
     def count(b: pa.RecordBatch) -> dict:

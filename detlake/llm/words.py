@@ -119,3 +119,16 @@ def packed(df: DataFrame, column: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([out if i == at else c for i, c in enumerate(b.columns)], b.schema.names)
 
     return df.mapInArrow(run, df.schema)
+
+
+def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """At most ``rows`` rows, the first by a hash of ``key``; all of them if there are no more.
+
+    A share a little larger than needed is cut out by the hash before anything is sorted, so no task sends more than its part.
+    """
+    n = df.count()
+    order = F.xxhash64(*key)
+    if n > rows:
+        share = min(1.0, 1.2 * rows / n + 1e-6)
+        df = df.where(F.pmod(F.xxhash64(F.lit(3), *key), F.lit(1 << 40)) < int(share * (1 << 40)))
+    return df.orderBy(order, *key).limit(rows)
