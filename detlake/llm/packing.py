@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .words import blobs, per_batch, present
 
 #: Words of a bin, documents of one source in a bin at most, and documents packed together on average.
@@ -96,8 +97,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOUR
     evenly. Null ids, sources and clusters are values of their own kind; a text without words gets one row with a null bin;
     repeated rows are packed one by one.
     """
+    pieces = materialize(pieces.select("doc_id", "source", "n_words", "cluster"), "pieces")
     n = max(1, -(-pieces.count() // shard))
-    dealt = pieces.select("doc_id", "source", "n_words", "cluster", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(n)).alias("shard"))
+    dealt = pieces.select("*", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(n)).alias("shard"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ids = [None if pd.isna(x) else int(x) for x in rows.doc_id.astype("object")]
