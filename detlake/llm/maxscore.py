@@ -12,7 +12,7 @@ from ..session import materialize
 from .words import per_batch
 
 #: Best candidates per query, vectors of a shard and queries of a block.
-TOP, SHARD, BLOCK = 5, 8192, 256
+TOP, SHARD, BLOCK = 5, 2048, 256
 #: Largest absolute component, after scaling, whose products are added up exactly in doubles.
 EXACT = 1 << 22
 
@@ -95,12 +95,16 @@ def top_k(
     )
     size = base.agg(F.count("*"), F.sum(F.col("q").cast("long")), F.max(F.size("x"))).first()
     shards, blocks, width = max(1, -(-size[0] // shard)), max(1, -(-(size[1] or 0) // block)), size[2] or 0
-    deal = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id", "x"), F.lit(n))
+    tasks = min(shards, 10_000)  # a fixed number, or small shards would be merged into few tasks
+
+    def dealt(rows: DataFrame, n: int, seed: int, name: str) -> DataFrame:
+        return rows.withColumn(name, F.pmod(F.xxhash64(F.lit(seed), "id", "x"), F.lit(n)))
+
     members = F.collect_list(F.struct("id", "x"))
-    index = base.groupBy(deal(shards, 1).alias("shard")).agg(members.alias("rows"))
-    asked = base.where("q").groupBy(deal(blocks, 2).alias("block")).agg(members.alias("queries"))
+    index = dealt(base, shards, 1, "shard").repartition(tasks, "shard").groupBy("shard").agg(members.alias("rows"))
+    asked = dealt(base.where("q"), blocks, 2, "block").groupBy("block").agg(members.alias("queries"))
     asked = asked.select("block", "queries", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    work = index.join(asked, "shard").sortWithinPartitions("shard")
+    work = index.join(asked.repartition(tasks, "shard"), "shard").sortWithinPartitions("shard")
 
     def matrix(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
         ids, x = rows.values.field("id").to_numpy(), rows.values.field("x")
