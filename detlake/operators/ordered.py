@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
+
 def _blocked(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
     """Rows with their block. The joins below drop NULL keys anyway; saying so here keeps both of their inputs the same
     plan, so that Spark computes it once."""
@@ -143,14 +146,20 @@ def stream_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], star
         for pdf in batches:
             if pdf.empty:
                 continue
-            k = pdf[keys].to_numpy(dtype=object)
-            edges = [0, *(1 + i for i in range(len(k) - 1) if (k[i] != k[i + 1]).any()), len(k)]
+            columns = [pdf[c].to_numpy() for c in keys]
+            change = np.zeros(len(pdf) - 1, bool)
+            for v in columns:
+                change |= v[1:] != v[:-1]
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(pdf)]
+            found = []
             for a, b in zip(edges, edges[1:]):
-                now = tuple(k[a])
+                now = tuple(v[a] for v in columns)
                 if now != key:
                     key, state = now, start(now)
                 out = step(state, pdf.iloc[a:b])
                 if out is not None and len(out):
-                    yield out
+                    found.append(out)
+            if found:
+                yield pd.concat(found, ignore_index=True) if len(found) > 1 else found[0]
 
     return spread(df, keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -34,6 +34,28 @@ def _stream(t, df, per_trigger=None, **kw):
     return SF.read_detection_stream(t.spark, _files(t, df), df.schema, per_trigger=per_trigger, **kw)
 
 
+def _scattered(t, df, watermark=True):
+    """Stream of one file per micro-batch in which frames are split over files and rows come out of order.
+
+    Each half of the time span lies in two files, dealt by frame and object. The watermark's delay covers a half, so the first half is
+    handled when the second arrives; a last file holds one row of another key far in the future, which closes all frames.
+    """
+    df = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    path = scratch_path(t.spark, "scattered")
+    lo, hi = df.agg(F.min("ts"), F.max("ts")).first()
+    middle = lo + (hi - lo) / 2
+    odd = F.pmod(F.col("frame_no") + F.col("track_id" if "track_id" in df.columns else "det_id"), F.lit(2)) == 1
+    for half in (F.col("ts") < F.lit(middle), F.col("ts") >= F.lit(middle)):
+        for part in (odd, ~odd):
+            df.where(half & part).coalesce(1).write.mode("append").parquet(path)
+    closing = {f.name: F.lit(None).cast(f.dataType) for f in df.schema.fields}
+    closing |= {k: F.lit(-1).cast(df.schema[k].dataType) for k in ("video_id", "track_id", "det_id") if k in closing}
+    closing |= {"ts": F.lit(hi + 4 * (hi - lo)), "frame_no": F.lit(1 << 40).cast("bigint")}
+    t.spark.range(1).select(*[c.alias(k) for k, c in closing.items()]).coalesce(1).write.mode("append").parquet(path)
+    stream = SF.read_detection_stream(t.spark, path, df.schema, per_trigger=1)
+    return stream.withWatermark("ts", f"{int((hi - middle).total_seconds()) + 1} seconds") if watermark else stream
+
+
 def _drain(t, out, mode="append"):
     """Run a stream over all files there are and read what it wrote."""
     path, check = scratch_path(t.spark, "sink"), scratch_path(t.spark, "check")
@@ -53,8 +75,7 @@ def t01(t):
 
 @query("t01_track_stream")
 def t01s(t):
-    s = _stream(t, _det(t)).withWatermark("ts", "0 seconds")
-    return _tracks(_drain(t, TR.track_stream(s)))
+    return _tracks(_drain(t, TR.track_stream(_scattered(t, _det(t)))))
 
 
 @query("t02_track_bot")
@@ -63,6 +84,43 @@ def t02(t):
     return _tracks(TR.track(_det(t).withColumn("warp", warp), Options(kind="bot")))
 
 
+# Objects far apart that drift half a pixel a frame, so that ids follow from the rows: object 0 is always there, 1 misses nine
+# frames (less than the buffer, its id stays), 2 misses 49 (more, it comes back as a new track), 3 comes five frames late. The
+# first frame's tracks are reported at once, later ones from their second frame on.
+SCENE = """
+scene AS (
+  SELECT v.video_id, f.frame_no, o.k, dense_rank() OVER (PARTITION BY v.video_id ORDER BY f.frame_no) - 1 AS r
+  FROM (SELECT DISTINCT CAST(FLOOR(event_id / 40) AS BIGINT) AS frame_no FROM events) f,
+    (SELECT DISTINCT user_id % 4 AS video_id FROM events) v, (SELECT * FROM (VALUES (0), (1), (2), (3)) AS w(k)) o),
+shown AS (SELECT * FROM scene WHERE NOT (k = 1 AND r BETWEEN 10 AND 18) AND NOT (k = 2 AND r BETWEEN 10 AND 58) AND NOT (k = 3 AND r < 5))"""
+SCENE_IDS = f"""WITH {SCENE} SELECT video_id, frame_no, CAST(k AS BIGINT) AS det_id, CAST(CASE WHEN k = 2 AND r >= 59 THEN 5 ELSE k + 1 END AS BIGINT) AS track_id
+FROM shown WHERE NOT (k = 3 AND r = 5) AND NOT (k = 2 AND r = 59)"""
+
+
+def _scene(t):
+    rows = t.spark.sql(f"WITH {SCENE.replace('FROM events', 'FROM {events}')} SELECT * FROM shown", events=t.table("events"))
+    x, y = F.col("k") * 300 + F.col("r") * 0.5, F.lit(100.0)
+    return rows.select(
+        "video_id", "frame_no", F.timestamp_seconds(F.col("r") + 1_700_000_000).alias("ts"), F.col("k").cast("bigint").alias("det_id"),
+        F.lit(0).alias("cls"), F.lit(0.9).alias("conf"), x.alias("x1"), y.alias("y1"), (x + 80).alias("x2"), (y + 120).alias("y2"),
+    )
+
+
+@query("t01_track_scene", "", SCENE_IDS)
+def t01_scene(t):
+    return TR.track(_scene(t)).select("video_id", "frame_no", "det_id", "track_id")
+
+
+@query("t01_track_scene_stream", "", SCENE_IDS)
+def t01_scene_stream(t):
+    return _drain(t, TR.track_stream(_scattered(t, _scene(t)))).select("video_id", "frame_no", "det_id", "track_id")
+
+
+@query("t02_track_bot_scene", "", SCENE_IDS)
+def t02_scene(t):
+    return TR.track(_scene(t), Options(kind="bot")).select("video_id", "frame_no", "det_id", "track_id")
+
+
 @query("t05_track_per_source", "tracks", "SELECT DISTINCT video_id, session, frame_no FROM (SELECT video_id, frame_no, frame_no // 100 AS session, max(conf) AS c FROM tracks GROUP BY 1, 2, 3) q WHERE c >= 0.25 AND frame_no % 100 = 0")
 def t05(t):
     """A tracker per video and session: ids restart, and the first frame of a session is reported at once."""
@@ -83,7 +141,7 @@ def t03(t):
     path = scratch_path(t.spark, "latest")
     w = SF.write_latest(s, path, scratch_path(t.spark, "check"))
     w.trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(s.schema).parquet(path)
+    return t.spark.read.parquet(path).drop("batch")
 
 
 @query(
@@ -91,15 +149,11 @@ def t03(t):
     "SELECT video_id, CAST(epoch(time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01')) AS BIGINT) AS start, count(*) AS n FROM tracks GROUP BY 1, 2",
 )
 def t06(t):
-    s = _stream(t, t.tracks.select("video_id", "frame_no", "ts")).drop("frame_no")
-    path, check = scratch_path(t.spark, "windows"), scratch_path(t.spark, "check")
-
-    def keep(batch, _):
-        batch.write.mode("overwrite").parquet(path)
-
-    w = SF.windowed(s, "5 minutes")
-    w.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(w.schema).parquet(path).select("video_id", F.unix_seconds("start").alias("start"), "n")
+    """Windows come out once, when the watermark has passed them; their counts then leave the state."""
+    s = _scattered(t, t.tracks.select("video_id", "frame_no", "track_id", "ts"), watermark=False)
+    lo, hi = t.tracks.agg(F.min(F.col("ts").cast("timestamp")), F.max(F.col("ts").cast("timestamp"))).first()
+    w = SF.windowed(s, "5 minutes", watermark=f"{int((hi - lo).total_seconds() / 2) + 1} seconds")
+    return _drain(t, w).select("video_id", F.unix_seconds("start").alias("start"), "n")
 
 
 @query(
@@ -114,7 +168,7 @@ def t06s(t):
 
 @query("t07_crossing_stream", "tracks", f"WITH {CROSS} SELECT region_id::BIGINT AS region_id, video_id, track_id, frame_no, cls, CASE WHEN goes THEN 'IN' ELSE 'OUT' END AS direction FROM fi")
 def t07(t):
-    out = _drain(t, SF.first_events(_stream(t, t.tracks, per_trigger=None), _lanes(t), "crossing"))
+    out = _drain(t, SF.first_events(_scattered(t, t.tracks), _lanes(t), "crossing"))
     return out.select("region_id", "video_id", "track_id", "frame_no", "cls", "direction")
 
 
@@ -124,7 +178,7 @@ def t07(t):
     " SELECT video_id, track_id, frame_no, round(CASE WHEN dt > 0 THEN abs(cy - py) * 1e6 / dt END, 6) AS speed FROM h WHERE k = 1",
 )
 def t07s(t):
-    out = _drain(t, SF.first_events(_stream(t, t.tracks), t.region("band"), "speed"))
+    out = _drain(t, SF.first_events(_scattered(t, t.tracks), t.region("band"), "speed"))
     return out.select("video_id", "track_id", "frame_no", F.round("speed", 6).alias("speed"))
 
 
@@ -136,12 +190,12 @@ def t07s(t):
 )
 def t07r(t):
     angle = ((F.col("track_id") * 37 + F.col("frame_no") * 53) % 180).cast("double")
-    return _drain(t, SF.reps_stream(_stream(t, t.tracks.select("video_id", "track_id", "frame_no", angle.alias("angle")))))
+    return _drain(t, SF.reps_stream(_scattered(t, t.tracks.select("video_id", "track_id", "frame_no", "ts", angle.alias("angle")))))
 
 
 @query("t07_alarm_stream", "tracks", "WITH c AS (SELECT video_id, frame_no, count(*) AS n FROM tracks GROUP BY 1, 2) SELECT video_id, min(frame_no) AS frame_no, arg_min(n, frame_no) AS objects FROM c WHERE n > 12 GROUP BY 1")
 def t07a(t):
-    return _drain(t, SF.alarm_stream(_stream(t, t.tracks.select("video_id", "frame_no")), 12))
+    return _drain(t, SF.alarm_stream(_scattered(t, t.tracks.select("video_id", "frame_no", "track_id", "ts")), 12))
 
 
 def _detector():

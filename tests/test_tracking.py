@@ -105,3 +105,82 @@ def test_stream_over_several_batches_equals_batch(tables, spark):
 
     want = count_reps(rows).select("video_id", "track_id", "frame_no", "stage", "reps")
     assert got == sorted(map(tuple, want.collect()))
+
+
+def test_removed_ids_stay_within_the_live_tracks():
+    s, o = core.State(), core.Options(buffer=3)
+    for k in range(400):  # every object is seen in two frames of five, then another one comes
+        x = 60.0 * (k // 5)
+        boxes = [[x, 0, x + 40, 60]] if k % 5 < 2 else [[0, 500, 40, 560]]
+        core.step(s, o, boxes, [0.9] if k % 5 < 2 else [0.05], [0], [0])
+        assert s.removed <= set(s.info["id"].tolist())
+
+
+def _video(spark, rows):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame(
+        [(v, f, i, base + dt.timedelta(seconds=s)) for v, f, i, s in rows], "video_id bigint, frame_no bigint, track_id bigint, ts timestamp"
+    )
+
+
+def _append(df, path):
+    df.coalesce(1).write.mode("append").parquet(path)
+
+
+def _alarm(spark, path, sink, check, schema):
+    from detlake.streaming import stateful as SF
+
+    s = SF.read_detection_stream(spark, path, schema, per_trigger=1).withWatermark("ts", "5 seconds")
+    q = SF.alarm_stream(s, 5, idle="1 minute").writeStream.format("parquet").outputMode("append")
+    q = q.option("checkpointLocation", check).trigger(availableNow=True).start(sink)
+    q.awaitTermination()
+    return q
+
+
+def test_alarm_counts_split_frames_and_restarts(spark):
+    from detlake.session import scratch_path
+
+    path, sink, check = (scratch_path(spark, n) for n in ("alarm", "sink", "check"))
+    one = _video(spark, [(1, 7, i, 7) for i in range(4)] + [(1, 3, 0, 3)])
+    _append(one, path)
+    _alarm(spark, path, sink, check, one.schema)
+    # the other half of the frame comes after a restart, and then rows that close it
+    _append(_video(spark, [(1, 7, i, 7) for i in range(4, 8)] + [(1, 5, 0, 5)]), path)
+    _alarm(spark, path, sink, check, one.schema)
+    _append(_video(spark, [(2, 100, 0, 100)]), path)
+    q = _alarm(spark, path, sink, check, one.schema)
+    assert [tuple(r) for r in spark.read.parquet(sink).collect()] == [(1, 7, 8)]
+    # idle for a minute: the state of both videos goes
+    _append(_video(spark, [(3, 500, 0, 500)]), path)
+    q = _alarm(spark, path, sink, check, one.schema)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+    assert [tuple(r) for r in spark.read.parquet(sink).collect()] == [(1, 7, 8)]
+
+
+def test_retried_batch_writes_nothing_twice(spark):
+    from detlake.session import scratch_path
+    from detlake.streaming import stateful as SF
+
+    path, sink = scratch_path(spark, "in"), scratch_path(spark, "latest")
+    rows = _video(spark, [(1, f, 0, f) for f in range(3)])
+    _append(rows, path)
+    for _ in range(2):  # a new checkpoint runs batch 0 again
+        s = SF.read_detection_stream(spark, path, rows.schema)
+        SF.write_latest(s, sink, scratch_path(spark, "check")).trigger(availableNow=True).start().awaitTermination()
+    assert [r.frame_no for r in spark.read.parquet(sink).collect()] == [2]
+
+
+def test_rows_out_of_order_without_time_fail(spark):
+    from detlake.session import scratch_path
+    from detlake.streaming import stateful as SF
+
+    path = scratch_path(spark, "unordered")
+    schema = "video_id bigint, track_id bigint, frame_no bigint, angle double"
+    for f in (5, 2):
+        _append(spark.createDataFrame([(1, 1, f, 100.0)], schema), path)
+    s = SF.read_detection_stream(spark, path, spark.createDataFrame([], schema).schema, per_trigger=1)
+    q = SF.reps_stream(s).writeStream.format("noop").option("checkpointLocation", scratch_path(spark, "check")).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="came after frame"):
+        q.awaitTermination()
