@@ -18,13 +18,22 @@ BOX = ("x1", "y1", "x2", "y2")
 CELL = 512.0
 
 
+# cells from the origin in each direction; what lies beyond, up to infinity, belongs to the outermost cell
+REACH = 128
+
+
+def _cell(v: Column, cell: float) -> Column:
+    """Grid cell of a coordinate. Order is kept, so boxes that touch still share the cell of their intersection's corner."""
+    return F.floor(F.least(F.greatest(v / cell, F.lit(-float(REACH))), F.lit(float(REACH))))
+
+
 def _cells(df: DataFrame, box: Sequence[Column], cell: float) -> DataFrame:
-    """One row per grid cell that the box touches."""
+    """One row per grid cell that the box touches: a bounded number, also for a corrupt box with huge or infinite sides."""
     x1, y1, x2, y2 = cols(*box)
 
     def span(lo, hi):
-        a = F.floor(lo / cell)
-        return F.sequence(a, F.greatest(F.floor(hi / cell), a))
+        a = _cell(lo, cell)
+        return F.sequence(a, F.greatest(_cell(hi, cell), a))
 
     return df.withColumn("_gx", F.explode(span(x1, x2))).withColumn("_gy", F.explode(span(y1, y2)))
 
@@ -54,8 +63,8 @@ def candidate_pairs(
     for k in keys:
         on = on & (L(k) == R(k))
     on = on & (L("_x1") <= R("_x2")) & (R("_x1") <= L("_x2")) & (L("_y1") <= R("_y2")) & (R("_y1") <= L("_y2"))
-    on = on & (F.floor(F.greatest(L("_x1"), R("_x1")) / cell) == L("_gx"))
-    on = on & (F.floor(F.greatest(L("_y1"), R("_y1")) / cell) == L("_gy"))
+    on = on & (_cell(F.greatest(L("_x1"), R("_x1")), cell) == L("_gx"))
+    on = on & (_cell(F.greatest(L("_y1"), R("_y1")), cell) == L("_gy"))
     if condition is not None:
         on = on & condition(L, R)
     extra = {"_gx", "_gy", *names}
@@ -83,7 +92,8 @@ def overlap_join(
         return measure([L(c) for c in BOX], [R(c) for c in BOX])
 
     def ok(L, R):
-        return sim(L, R) > threshold if strict or threshold <= 0 else sim(L, R) >= threshold
+        s = sim(L, R)  # boxes with NaN or infinite coordinates have no overlap
+        return ~F.isnan(s) & (s > threshold if strict or threshold <= 0 else s >= threshold)
 
     if strategy == "direct":
         right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
@@ -127,26 +137,32 @@ def window_join(ann: DataFrame, windows: DataFrame, iof: float = 0.7, key="image
     return pairs.withColumn("iof", share(F.col, lambda c: F.col(f"b_{c}")))
 
 
+def region_keys(regions: DataFrame) -> list[str]:
+    """Regions may belong to a video."""
+    return ["video_id"] if "video_id" in regions.columns else []
+
+
 def in_region(points: DataFrame, regions: DataFrame, x="cx", y="cy", inclusive=False, cell=CELL) -> DataFrame:
     """Points joined to every region that contains them.
 
-    Regions are spread over the grid cells of their envelopes and each point looks only into its own cell. Spark
-    broadcasts the region side by itself when it is small.
+    Regions are spread over the grid cells of their envelopes and each point looks only into its own cell. Regions with a
+    ``video_id`` hold for that video only, which is then part of the join key. Spark broadcasts the region side by itself when it is
+    small.
     """
     r = regions.withColumns({f"_{k}": c for k, c in envelope("points").items()})
     r = _cells(r, ("_x1", "_y1", "_x2", "_y2"), cell).drop("_x1", "_y1", "_x2", "_y2")
-    p = points.withColumns({"_gx": F.floor(F.col(x) / cell), "_gy": F.floor(F.col(y) / cell)})
-    out = p.join(r, ["_gx", "_gy"]).filter(RG.in_polygon("points", x, y, inclusive))
+    p = points.withColumns({"_gx": _cell(F.col(x), cell), "_gy": _cell(F.col(y), cell)})
+    out = p.join(r, [*region_keys(regions), "_gx", "_gy"]).filter(RG.in_polygon("points", x, y, inclusive))
     return out.drop("_gx", "_gy")
 
 
 def near_regions(steps: DataFrame, regions: DataFrame, px="px", py="py", x="cx", y="cy", cell=CELL) -> DataFrame:
-    """Track steps joined to the regions whose envelope the step's envelope touches."""
+    """Track steps joined to the regions whose envelope the step's envelope touches; regions with a ``video_id`` hold for that
+    video only."""
     a = [F.least(px, x), F.least(py, y), F.greatest(px, x), F.greatest(py, y)]
-    r = regions.withColumn("_all", F.lit(0))
-    s = steps.withColumn("_all", F.lit(0))
-    out = candidate_pairs(s, r, ["_all"], a_box=a, b_box=list(envelope("points").values()), cell=cell).drop("_all")
-    return out.withColumnsRenamed({f"b_{c}": c for c in regions.columns})
+    keys = region_keys(regions)
+    out = candidate_pairs(steps, regions, keys, a_box=a, b_box=list(envelope("points").values()), cell=cell)
+    return out.withColumnsRenamed({f"b_{c}": c for c in regions.columns if c not in keys})
 
 
 def step_crosses(steps: DataFrame, regions: DataFrame, **kw) -> DataFrame:

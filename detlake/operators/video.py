@@ -61,15 +61,18 @@ def crossings(tracks: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def count_crossings(tracks: DataFrame, regions: DataFrame) -> DataFrame:
-    """``IN`` and ``OUT`` counts per region, video and class; every class seen in a video has a row."""
+    """``IN`` and ``OUT`` counts per region, video and class; every class seen in a video has a row for each region that holds
+    there: those with the video's ``video_id`` if regions belong to videos, else all."""
     c = crossings(tracks, regions)
     n = c.groupBy("region_id", "video_id", "cls").agg(
         F.count_if(F.col("direction") == "IN").alias("n_in"), F.count_if(F.col("direction") == "OUT").alias("n_out")
     )
-    # one row: the ids of the configured regions
-    ids = regions.agg(F.collect_list("region_id").alias("_ids"))
-    seen = tracks.select("video_id", "cls").distinct().join(F.broadcast(ids))
-    seen = seen.select("video_id", "cls", F.explode("_ids").alias("region_id"))
+    seen = tracks.select("video_id", "cls").distinct()
+    if J.region_keys(regions):
+        seen = seen.join(regions.select("video_id", "region_id"), "video_id")
+    else:  # one row: the ids of the configured regions
+        seen = seen.join(F.broadcast(regions.agg(F.collect_list("region_id").alias("_ids"))))
+        seen = seen.select("video_id", "cls", F.explode("_ids").alias("region_id"))
     out = seen.join(n, ["region_id", "video_id", "cls"], "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_in", "n_out")})
 
@@ -107,8 +110,11 @@ def slot_occupancy(tracks: DataFrame, slots: DataFrame) -> DataFrame:
     t = with_centers(tracks).withColumns({c: F.col(c).cast("int").cast("double") for c in ("cx", "cy")})
     used = J.in_region(t, slots, inclusive=True).select("video_id", "frame_no", "region_id").distinct()
     n = used.groupBy("video_id", "frame_no").agg(F.count("*").alias("occupied"))
-    total = slots.agg(F.count("*").alias("_total"))
-    out = _per_frame(tracks, n, "occupied").join(F.broadcast(total))  # one row
+    out = _per_frame(tracks, n, "occupied")
+    if J.region_keys(slots):
+        out = out.join(slots.groupBy("video_id").agg(F.count("*").alias("_total")), "video_id", "left").fillna(0, ["_total"])
+    else:
+        out = out.join(F.broadcast(slots.agg(F.count("*").alias("_total"))))  # one row
     return out.withColumn("available", F.col("_total") - F.col("occupied")).drop("_total")
 
 

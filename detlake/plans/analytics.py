@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J
 from ..operators import video as V
+from ..session import scratch_path
+from ..sources.regions import read_regions
 from .registry import keypoints_of, query, r6, sql6
 
 CENTER = "(x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy"
@@ -198,3 +200,20 @@ def w08(t):
 )
 def t04(t):
     return V.track_sessions(t.tracks, 5)
+
+
+@query(
+    "s21_regions_of_videos", "tracks",
+    "WITH c AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM tracks), r AS (SELECT video_id, floor(min(cx)) AS lx, floor(avg(cx)) + 1 AS hx, floor(min(cy)) - 1 AS ly, floor(avg(cy)) AS hy FROM c GROUP BY video_id)"
+    " SELECT c.video_id, c.frame_no, c.video_id + 100 AS region_id, count(*) AS n FROM c JOIN r USING (video_id) WHERE cx > lx AND cx < hx AND cy > ly AND cy < hy GROUP BY 1, 2, 3",
+)
+def s21(t):
+    """Each video's own region, from a JSON file written out of the tracks, counted in that video only."""
+    c = V.with_centers(t.tracks)
+    r = c.groupBy("video_id").agg(
+        F.floor(F.min("cx")).alias("lx"), (F.floor(F.avg("cx")) + 1).alias("hx"), (F.floor(F.min("cy")) - 1).alias("ly"), F.floor(F.avg("cy")).alias("hy")
+    )
+    corners = F.array(*[F.array(F.col(x).cast("double"), F.col(y).cast("double")) for x, y in (("lx", "ly"), ("hx", "ly"), ("hx", "hy"), ("lx", "hy"))])
+    path = scratch_path(t.spark, "regions")
+    r.select((F.col("video_id") + 100).alias("region_id"), "video_id", corners.alias("points")).write.json(path)
+    return V.region_counts(t.tracks, read_regions(t.spark, path, multiline=False)).select("video_id", "frame_no", "region_id", "n")

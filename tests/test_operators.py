@@ -60,6 +60,19 @@ def test_grid_equals_direct(data):
         assert sorted(a.collect()) == sorted(b.collect())
 
 
+def test_grid_join_survives_corrupt_boxes(data, spark):
+    _, _, d, g = data
+    inf, nan = float("inf"), float("nan")
+    odd = [(0, 900 + i, 0, 0.5, *b) for i, b in enumerate([(0.0, 0.0, 1e9, 300.0), (-inf, -inf, inf, inf), (nan, 0.0, 9.0, 9.0), (1e300, 0.0, 1e301, 5.0), (-1e12, -1e12, 1e12, 1e12), (70_000.0, 5.0, 70_100.0, 90.0)])]
+    d2 = d.unionByName(spark.createDataFrame(odd, d.schema))
+    far = spark.createDataFrame([(0, 901, 0, 70_010.0, 5.0, 70_100.0, 90.0), (0, 902, 0, -1e12, -1e12, 1e12, 0.9e12)], g.schema)
+    g2 = g.unionByName(far)
+    key = ["image_id", "det_id", "b_ann_id"]
+    a = J.overlap_join(d2, g2, threshold=0.3).select(*key).collect()
+    assert sorted(a) == sorted(J.overlap_join(d2, g2, threshold=0.3, strategy="direct").select(*key).collect())
+    assert {(r.det_id, r.b_ann_id) for r in a} >= {(905, 901), (904, 902)}
+
+
 def test_match_equals_loops(data):
     d, g, ds, gs = data
     want = {}
