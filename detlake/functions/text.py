@@ -16,6 +16,18 @@ def clean_str(c) -> Column:
     return F.regexp_replace(col(c), "[" + SPECIAL.replace("^", "\\^") + "]", "_")
 
 
+def image_key(path, root: str | None = None) -> Column:
+    """Identity of an image or its label file: the path below ``root`` without suffix, so that equal names in two folders stay apart.
+
+    Without a root it is the file's stem, for folders without subfolders.
+    """
+    if root is None:
+        return stem(path)
+    p = F.col(path) if isinstance(path, str) else path
+    below = F.when(F.startswith(p, F.lit(root.rstrip("/") + "/")), F.substring(p, F.lit(len(root.rstrip("/")) + 2), F.length(p))).otherwise(p)
+    return F.regexp_replace(below, r"\.[^./]*$", "")
+
+
 def stem(path) -> Column:
     return F.regexp_extract(col(path), r"([^/]*?)(\.[^./]*)?$", 1)
 

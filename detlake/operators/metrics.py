@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .match import THRESHOLDS, match_for_confusion
 from .ordered import running
 
@@ -222,6 +223,7 @@ def smoothed_f1(curves: DataFrame, share: float = 0.1, points: int = GRID) -> Da
 
 def best_f1(curves: DataFrame, share: float = 0.1, points: int = GRID) -> DataFrame:
     """Per class precision, recall, F1 and counts at the confidence with the highest smoothed mean F1."""
+    curves = materialize(curves, "curves")  # read twice: for the best confidence, and there
     top = smoothed_f1(curves, share, points).agg(F.max_by("i", F.struct("smooth", (-F.col("i")).alias("n"))).alias("i"))
     at = curves.join(F.broadcast(top), "i")
     tp = F.bround(F.col("r") * F.col("n_truth"), 0)
@@ -231,7 +233,11 @@ def best_f1(curves: DataFrame, share: float = 0.1, points: int = GRID) -> DataFr
 
 
 def class_report(counts: DataFrame, ann: DataFrame) -> DataFrame:
-    """Per class: images, instances, precision, recall, AP at 0.50 and mean AP; the row with NULL class is the mean."""
+    """Per class: images, instances, precision, recall, AP at 0.50 and mean AP; the row with NULL class is the mean.
+
+    The counts, at most one row per class and confidence, are written once: both kinds of curves start from them.
+    """
+    counts = materialize(counts, "counts")
     ap = ap_per_class(counts).groupBy("cls").agg(
         F.max(F.when(F.col("thr") == 0.5, F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap")
     )

@@ -26,8 +26,8 @@ def matched(t):
     return M.match_predictions(_det(t), _gt(t)).select("image_id", "det_id", "cls", "conf", "tp_mask", "ann_id")
 
 
-def counted(t):
-    return M.evaluation_counts(_det(t), _gt(t))
+def counted(t, thresholds=M.THRESHOLDS):
+    return M.evaluation_counts(_det(t), _gt(t), thresholds)
 
 
 # matching straight from its definition: per threshold, best truth per detection, then best-ranked detection per truth
@@ -176,7 +176,7 @@ def a04(t):
 
 @query("a05_precision_on_recall", "det gt", f"WITH {AP.format(last=999)} SELECT cls, g AS i, round(x, 6) AS recall, round(y, 6) AS precision FROM ip WHERE thr = 0.5")
 def a05p(t):
-    c = A.precision_on_recall(counted(t))
+    c = A.precision_on_recall(counted(t, M.THRESHOLDS[:1]))
     return c.select("cls", "i", *r6(recall=F.col("recall"), precision=F.col("precision")))
 
 
@@ -191,7 +191,7 @@ cf AS (SELECT *, 2 * p * r / (p + r + 1e-16) AS f1 FROM cc)"""
 
 
 def _curves(t):
-    return A.confidence_curves(counted(t))
+    return A.confidence_curves(counted(t, M.THRESHOLDS[:1]))
 
 
 @query("a05_confidence_curves", "det gt", f"WITH {CONF} SELECT cls, g AS i, round(x, 6) AS conf, round(p, 6) AS p, round(r, 6) AS r, round(f1, 6) AS f1 FROM cf")

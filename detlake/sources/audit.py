@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import materialize
 from .files import IMAGE_SUFFIXES
 
 SCHEMA = "path string, format string, width int, height int, tail string"
@@ -85,26 +86,37 @@ def header(b: bytes) -> tuple[str, int, int]:
     raise ValueError("unknown format")
 
 
+#: Bytes of a file that go to Python first; sizes stand there in nearly all files.
+HEAD = 1 << 16
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            b = bytes(content)
+        for path, content, tail in zip(pdf["path"], pdf["content"], pdf["tail"]):
             try:
-                fmt, w, h = header(b)
+                fmt, w, h = header(bytes(content))
             except (ValueError, KeyError, IndexError, struct.error):
                 fmt, w, h = None, None, None
-            rows.append((path, fmt, w, h, b[-2:].hex()))
+            rows.append((path, fmt, w, h, tail))
         out = pd.DataFrame(rows, columns=["path", "format", "width", "height", "tail"])
         yield out.astype({"width": "Int32", "height": "Int32"})
 
 
-def audit_images(files: DataFrame) -> DataFrame:
+def audit_images(files: DataFrame, root: str | None = None) -> DataFrame:
     """``image_id, path, width, height, status, reason`` of a ``path, content`` table.
 
-    ``status`` is ``ok``, ``truncated`` (a JPEG without its end marker; usable, reported only) or ``corrupt``.
+    ``status`` is ``ok``, ``truncated`` (a JPEG without its end marker; usable, reported only) or ``corrupt``. Only the first
+    ``HEAD`` bytes of a file leave the JVM, and its last two. Files whose size is not found there are read in full; their paths are
+    a table of their own, which Spark broadcasts only if it is small.
     """
-    h = files.select("path", "content").mapInPandas(_read, SCHEMA)
+    tail = F.lower(F.hex(F.substring("content", -2, 2)))
+    head = files.select("path", F.substring("content", 1, HEAD).alias("content"), tail.alias("tail"))
+    first = materialize(head.mapInPandas(_read, SCHEMA), "headers")
+    long = files.where(F.length("content") > HEAD).select("path", "content", tail.alias("tail"))
+    open_ = first.where("format IS NULL").select("path").distinct()
+    again = materialize(long.join(open_, "path", "left_semi").mapInPandas(_read, SCHEMA), "headers")
+    h = first.join(again.select("path").distinct(), "path", "left_anti").unionByName(again)
     known = F.col("format").isin(IMAGE_SUFFIXES)
     small = (F.col("width") < 10) | (F.col("height") < 10)
     reason = (
@@ -114,9 +126,9 @@ def audit_images(files: DataFrame) -> DataFrame:
         .when((F.col("format") == "jpeg") & (F.col("tail") != "ffd9"), "no end marker")
     )
     status = F.when(reason.isNull(), "ok").when(reason == "no end marker", "truncated").otherwise("corrupt")
-    return h.select(X.stem("path").alias("image_id"), "path", "width", "height", status.alias("status"), reason.alias("reason"))
+    return h.select(X.image_key("path", root).alias("image_id"), "path", "width", "height", status.alias("status"), reason.alias("reason"))
 
 
-def read_image_audit(spark: SparkSession, path: str) -> DataFrame:
+def read_image_audit(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return audit_images(df.select(F.regexp_replace("path", "^file:", "").alias("path"), "content"))
+    return audit_images(df.select(F.regexp_replace("path", "^file:", "").alias("path"), "content"), root)

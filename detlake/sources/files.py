@@ -57,10 +57,11 @@ def leading_fraction(df: DataFrame, fraction: float, *order: str) -> DataFrame:
     return ranked.join(F.broadcast(limit), F.col("_rank") <= F.col("_limit")).drop("_rank", "_limit")
 
 
-def scan_images(spark: SparkSession, paths, fraction: float = 1.0) -> DataFrame:
-    """Image files with ``image_id`` (stem), ``path`` and size in bytes."""
+def scan_images(spark: SparkSession, paths, fraction: float = 1.0, root: str | None = None) -> DataFrame:
+    """Image files with ``image_id``, ``path`` and size in bytes. The id is the path below ``root`` (see ``image_key``); give one
+    whenever the files lie in several folders."""
     out = select_images(list_files(spark, paths), fraction)
-    return out.select(X.stem("path").alias("image_id"), "path", F.col("length").alias("bytes"))
+    return out.select(X.image_key("path", root).alias("image_id"), "path", F.col("length").alias("bytes"))
 
 
 def scan_media(spark: SparkSession, paths) -> DataFrame:

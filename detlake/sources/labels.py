@@ -136,11 +136,14 @@ def good_labels(parsed: DataFrame, audit: DataFrame, task: str = "detect") -> Da
     return out.select("path", F.col("cls").cast("int").alias("cls"), *BOX, "polygon", "keypoints")
 
 
-def read_labels(spark: SparkSession, path: str, nc: int, task: str = "detect", nkpt: int = 0, ndim: int = 3) -> DataFrame:
-    """Clean annotations of a label folder, normalised centre format, with ``image_id`` from the file name."""
+def read_labels(
+    spark: SparkSession, path: str, nc: int, task: str = "detect", nkpt: int = 0, ndim: int = 3, root: str | None = None
+) -> DataFrame:
+    """Clean annotations of a label folder, normalised centre format, with ``image_id`` from the path below ``root`` (see
+    ``image_key``) or else from the file name."""
     parsed = parse_labels(read_label_lines(spark, path), task, nkpt, ndim)
     good = good_labels(parsed, audit_labels(parsed, nc, task, nkpt, ndim), task)
-    return good.withColumn("image_id", X.stem("path"))
+    return good.withColumn("image_id", X.image_key("path", root))
 
 
 def label_status(images: DataFrame, files: DataFrame, audit: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from detlake.sources import audit, documents, files, labels, sinks
+from detlake.sources import audit, documents, files, labels, regions, sinks
 
 NAMES = ["person", "car"]
 
@@ -102,3 +102,37 @@ def test_snapshot_reuses_until_files_change(spark, tmp_path):
     for f in (a, a, a.withColumn("length", F.lit(2).cast("long"))):
         assert sinks.snapshot(spark, f, build, str(tmp_path / "s")).count() == 3
     assert len(calls) == 2
+
+
+def test_equal_names_in_two_folders_stay_apart(spark, tmp_path):
+    for split, row in (("train", "0 0.5 0.5 0.2 0.2"), ("val", "1 0.4 0.4 0.1 0.1")):
+        for kind, name, content in (("images", "0001.jpg", b"x"), ("labels", "0001.txt", row.encode())):
+            folder = tmp_path / kind / split
+            folder.mkdir(parents=True)
+            (folder / name).write_bytes(content)
+    images = files.scan_images(spark, str(tmp_path / "images"), root=str(tmp_path / "images"))
+    ann = labels.read_labels(spark, str(tmp_path / "labels"), nc=2, root=str(tmp_path / "labels"))
+    got = images.join(ann, "image_id").select("image_id", "cls").collect()
+    assert sorted((r.image_id, r.cls) for r in got) == [("train/0001", 0), ("val/0001", 1)]
+
+
+def test_image_audit_reads_in_full_only_what_it_must(spark, tmp_path):
+    def png(w, h):
+        return b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">II", w, h) + bytes(200_000)
+
+    exif = b"\xff\xe1" + struct.pack(">H", 65_000) + bytes(64_998)
+    size = b"\xff\xc0" + struct.pack(">HBHH", 17, 8, 48, 64) + bytes(10)
+    content = {"a.png": png(30, 20), "late.jpg": b"\xff\xd8" + exif + exif + size + b"\xff\xd9", "cut.jpg": b"\xff\xd8" + size, "bad.jpg": bytes(100_000)}
+    for name, b in content.items():
+        (tmp_path / name).write_bytes(b)
+    got = {r.path.rpartition("/")[2]: (r.width, r.height, r.status, r.reason) for r in audit.read_image_audit(spark, str(tmp_path)).collect()}
+    assert got == {
+        "a.png": (30, 20, "ok", None), "late.jpg": (64, 48, "ok", None), "cut.jpg": (64, 48, "truncated", "no end marker"),
+        "bad.jpg": (None, None, "corrupt", "unreadable"),
+    }
+
+
+def test_regions_file(spark, tmp_path):
+    (tmp_path / "slots.json").write_text(json.dumps([{"points": [[0, 0], [4, 0], [4, 4]]}, {"points": [[1, 1], [None, 2]]}, {"points": [[9, 9], [8, 8]]}], indent=1))
+    got = regions.read_regions(spark, str(tmp_path / "slots.json")).collect()
+    assert [len(r.points) for r in got] == [3, 2] and "video_id" not in got[0].asDict() and got[0].region_id < got[1].region_id
