@@ -113,29 +113,45 @@ def _hash_fraction(*parts) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def sample_prompts(ann: DataFrame, nc: int, neg: tuple[int, int] = (5, 10), max_samples: int = 80, seed: int = 0) -> DataFrame:
+def paste(boxes: DataFrame, others: DataFrame, p: float = 0.5, ioa: float = 0.30, uid="ann_id") -> DataFrame:
+    """The labels of each image after pasting: its own ``boxes`` and the chosen ones of ``others``, told apart by ``pasted``."""
+    chosen = paste_candidates(boxes, others, p, ioa, uid).select(*boxes.columns)
+    return boxes.withColumn("pasted", F.lit(False)).unionByName(chosen.withColumn("pasted", F.lit(True)))
+
+
+def sample_prompts(
+    ann: DataFrame, nc: int, neg: tuple[int, int] = (5, 10), max_samples: int = 80, seed: int = 0, images: DataFrame | None = None
+) -> DataFrame:
     """Classes offered as prompts per image: ``image_id, cls, positive, new_cls``.
 
     The image's own classes come first (a hash sample when there are more than ``max_samples``), then a hash sample of the
-    others; both are mixed by hash and numbered. Per image there are at most ``nc`` rows.
+    others; both are mixed by hash and numbered. With ``images`` those without annotations get classes too, all of them
+    negative. All classes of an image are drawn inside its row; only the chosen ones become rows.
     """
     s = F.lit(seed)
-    own = ann.select("image_id", "cls").distinct().withColumn("positive", F.lit(True))
-    ids = own.select("image_id").distinct()
-    every = ids.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cls"))
-    c = every.join(own, ["image_id", "cls"], "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
-    c = c.withColumn("_u", _hash_fraction(s, F.col("image_id"), F.col("cls")))
-    by = Window.partitionBy("image_id", "positive").orderBy("_u", "cls")
-    c = c.withColumns({"_r": F.row_number().over(by), "_pos": F.sum(F.col("positive").cast("int")).over(Window.partitionBy("image_id"))})
-    taken = F.least("_pos", F.lit(max_samples))
+    per = ann.groupBy("image_id").agg(F.collect_set("cls").alias("_own"))
+    if images is not None:
+        per = images.select("image_id").distinct().join(per, "image_id", "left")
+        per = per.withColumn("_own", F.coalesce("_own", F.expr("CAST(array() AS array<int>)")))
+    image = F.col("image_id")
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(nc - 1)), lambda c: F.struct(_hash_fraction(s, image, c).alias("u"), c.alias("cls")))
+    per = per.withColumn("_all", F.array_sort(drawn))
+    own = F.slice(F.filter("_all", lambda c: F.array_contains("_own", c["cls"])), 1, max_samples)
     # classes beyond the sample of own ones count among the others
     lo, hi = neg
-    wanted = F.lit(lo) + F.floor(_hash_fraction(s, F.col("image_id")) * (hi - lo + 1))
-    room = F.least(F.lit(min(nc, max_samples)) - taken, wanted)
-    keep = F.when(F.col("positive"), F.col("_r") <= max_samples).otherwise(F.col("_r") <= room)
-    c = c.filter(keep).withColumn("_mix", _hash_fraction(s, F.lit("mix"), F.col("image_id"), F.col("cls")))
-    new = F.row_number().over(Window.partitionBy("image_id").orderBy("_mix", "cls")) - 1
-    return c.select("image_id", "cls", "positive", new.alias("new_cls"))
+    wanted = F.lit(lo) + F.floor(_hash_fraction(s, image) * (hi - lo + 1))
+    taken = F.least(F.size(F.array_intersect("_own", F.sequence(F.lit(0), F.lit(nc - 1)))), F.lit(max_samples))
+    room = F.greatest(F.least(F.lit(min(nc, max_samples)) - taken, wanted), F.lit(0)).cast("int")
+    rest = F.slice(F.filter("_all", lambda c: ~F.array_contains("_own", c["cls"])), F.lit(1), room)
+
+    def marked(part: Column, positive: bool) -> Column:
+        return F.transform(
+            part, lambda c: F.struct(_hash_fraction(s, F.lit("mix"), image, c["cls"]).alias("mix"), c["cls"].alias("cls"), F.lit(positive).alias("positive"))
+        )
+
+    mixed = F.array_sort(F.concat(marked(own, True), marked(rest, False)))
+    out = per.select("image_id", F.posexplode(mixed).alias("new_cls", "_c"))
+    return out.select("image_id", F.col("_c.cls").alias("cls"), F.col("_c.positive").alias("positive"), "new_cls")
 
 
 def remap_to_prompts(ann: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -144,11 +160,18 @@ def remap_to_prompts(ann: DataFrame, prompts: DataFrame) -> DataFrame:
     return ann.join(m, ["image_id", "cls"]).withColumn("cls", F.col("new_cls")).drop("new_cls")
 
 
-def prompt_texts(prompts: DataFrame, names: Sequence[str], template: str = "{}", size: int | None = None, padding: str = "") -> DataFrame:
-    """Ordered prompt texts per image, padded to ``size``. At most ``size`` or the number of classes per image."""
+def prompt_texts(
+    prompts: DataFrame, names: Sequence[str | Sequence[str]], template: str = "{}", size: int | None = None, padding: str = "", seed: int = 0
+) -> DataFrame:
+    """Ordered prompt texts per image, padded to ``size``. At most ``size`` or the number of classes per image.
+
+    A class may have several names; each image gets one of them, chosen by hash.
+    """
     head, tail = template.split("{}", 1)
-    table = F.array(*[F.lit(n) for n in names])
-    text = F.concat(F.lit(head), F.element_at(table, F.col("cls") + 1), F.lit(tail))
+    table = F.array(*[F.array(*[F.lit(n) for n in ([own] if isinstance(own, str) else own)]) for own in names])
+    own = F.element_at(table, F.col("cls") + 1)
+    pick = F.floor(_hash_fraction(F.lit(seed), F.lit("name"), F.col("image_id"), F.col("cls")) * F.size(own)).cast("int")
+    text = F.concat(F.lit(head), F.get(own, pick), F.lit(tail))
     out = prompts.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("new_cls", text.alias("t")))).alias("l"))
     texts = F.transform("l", lambda s: s["t"])
     if size is not None:

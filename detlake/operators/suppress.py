@@ -119,19 +119,20 @@ def nms(
     """Non-maximum suppression per image, and per class unless ``agnostic``.
 
     Groups are bounded before anything is collected: each image keeps its best ``max_nms`` candidates, which is part of
-    the operator's definition. After it one partitioning by image serves the cap, the grouping and the final cut.
+    the operator's definition. Only id, score and box go through the cap, the grouping and the final cut; whatever else the rows
+    hold (embeddings, keypoints, masks) is fetched for the kept ones by ``key`` and ``uid``, which identify a row.
     """
-    cand = top_per_group(keep(det, conf, classes), max_nms, (key,), "conf", uid)
-    rest = [c for c in det.columns if c not in (key, "cls", *BOX)]
-    row = F.struct(
-        (-F.col("conf")).alias("_s"), F.col(uid).alias("_u"), *BOX, *[F.col(c) for c in rest if c != uid],
-        *([F.col("cls")] if agnostic else []), F.col(uid),
-    )
     group = [key] if agnostic else [key, "cls"]
+    slim = list(dict.fromkeys([key, "cls", uid, "conf", *BOX]))
+    cand = top_per_group(keep(det, conf, classes).select(*slim), max_nms, (key,), "conf", uid)
+    row = F.struct((-F.col("conf")).alias("_s"), F.col(uid).alias("_u"), *BOX, *([F.col("cls")] if agnostic else []))
     kept = cand.groupBy(*group).agg(F.sort_array(F.collect_list(row)).alias("_r"))
     kept = kept.select(*group, F.explode(greedy_keep(F.col("_r"), iou, max_det)).alias("_k"))
-    out = kept.select(*group, *[F.col(f"_k.{c}").alias(c) for c in det.columns if c not in group])
-    return top_per_group(out, max_det, (key,), "conf", uid).select(*det.columns)
+    named = {"conf": -F.col("_k._s"), uid: F.col("_k._u")} | {c: F.col(f"_k.{c}") for c in slim if c not in (*group, uid, "conf")}
+    out = top_per_group(kept.select(*group, *[v.alias(c) for c, v in named.items()]), max_det, (key,), "conf", uid)
+    if set(det.columns) <= set(slim):
+        return out.select(*det.columns)
+    return det.join(out.select(key, uid), [key, uid], "left_semi").select(*det.columns)
 
 
 def rotated_nms(det: DataFrame, thr: float = 0.45, keys=("image_id", "cls"), uid="det_id", cell=CELL) -> DataFrame:

@@ -78,6 +78,22 @@ def f05(t):
     return out.select("image_id", "ann_id", *r6(worst=F.col("worst")), "place")
 
 
+@query(
+    "f05_pasted_labels", "gt images",
+    "WITH fl AS (SELECT image_id, ann_id, cls, width - x2 AS x1, y1, width - x1 AS x2, y2 FROM gt JOIN images USING (image_id)),"
+    f" w AS (SELECT a.image_id, a.ann_id, max({IOA}) AS worst FROM fl a JOIN gt b ON a.image_id = b.image_id GROUP BY 1, 2),"
+    " k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY worst, ann_id) AS place, count(*) OVER (PARTITION BY image_id) AS n FROM w WHERE worst < 0.3),"
+    " c AS (SELECT image_id, ann_id FROM k WHERE place <= round_even(n * 0.5::DOUBLE, 0))"
+    " SELECT image_id, ann_id, cls, round(x1, 6) AS x1, round(x2, 6) AS x2, false AS pasted FROM gt"
+    " UNION ALL SELECT image_id, ann_id, cls, round(x1, 6), round(x2, 6), true FROM fl JOIN c USING (image_id, ann_id)",
+)
+def f05p(t):
+    """Every image's labels after half of the free, mirrored instances were pasted."""
+    g = _ann(t)
+    flipped = g.join(t.images.select("image_id", "width"), "image_id").withColumns(B.flip_box(*BOX, width="width")).drop("width")
+    return AU.paste(g, flipped, 0.5).select("image_id", "ann_id", "cls", *r6(x1=F.col("x1"), x2=F.col("x2")), "pasted")
+
+
 def U(*parts):
     text = " || '|' || ".join(parts)
     return f"('0x' || substr(sha256({text}), 1, 13))::BIGINT::DOUBLE / 4503599627370496"
@@ -99,3 +115,11 @@ def l06b(t):
     p = AU.sample_prompts(t.gt, 12, (2, 4), 12, seed=3)
     out = AU.remap_to_prompts(_ann(t), p)
     return out.agg(F.count("*").alias("n"), F.count_if(F.col("cls") >= 12).cast("int").alias("outside"))
+
+
+@query("l06_prompts_without_labels", "gt images", "SELECT image_id, count(*) AS n FROM (SELECT image_id FROM images WHERE image_id NOT IN (SELECT image_id FROM gt WHERE cls < 2)), range(3) GROUP BY 1")
+def l06c(t):
+    """Images that have no annotation left get negative classes only."""
+    some = t.gt.where("cls < 2")
+    p = AU.sample_prompts(some, 12, (3, 3), 12, seed=3, images=t.images)
+    return p.groupBy("image_id").agg(F.count_if("positive").alias("own"), F.count("*").alias("n")).where("own = 0").drop("own")

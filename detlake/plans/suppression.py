@@ -8,6 +8,7 @@ from ..functions import boxes as B
 from ..operators import assign as AS
 from ..operators import joins as J
 from ..operators import suppress as X
+from .evaluation import IOU
 from .pairs import inter, prob_sql, sq
 from .registry import query, r6, sql6
 
@@ -196,13 +197,32 @@ def x11(t):
     return _out(X.merge_views((c, 1.0, 0), (second, 0.83, 3), iou=0.3))
 
 
-@query("x12_assign")
-def x12(t):
+def _assigned(t):
     """Detections to truths per image, costs 1 - IoU, limit 0.8."""
     pairs = J.overlap_join(_det(t), t.gt.select("image_id", "ann_id", *BOX), threshold=0.2)
     pairs = pairs.select("image_id", "det_id", F.col("b_ann_id").alias("ann_id"), (1 - F.col("sim")).alias("cost"))
-    out = AS.assign(pairs, ["image_id"], "det_id", "ann_id", "cost", 0.8)
-    return out.select("image_id", "det_id", "ann_id", *r6(cost=F.col("cost")))
+    return AS.assign(pairs, ["image_id"], "det_id", "ann_id", "cost", 0.8)
+
+
+@query("x12_assign")
+def x12(t):
+    return _assigned(t).select("image_id", "det_id", "ann_id", *r6(cost=F.col("cost")))
+
+
+# the best matching by its definition: detections in turn take one of their free truths or none, for every set of taken truths
+TOTALS = f"""WITH RECURSIVE pr AS (SELECT a.image_id, a.det_id, b.ann_id, {IOU} - 0.2 AS w FROM det a JOIN gt b ON a.image_id = b.image_id WHERE {IOU} > 0.2),
+di AS (SELECT image_id, det_id, row_number() OVER (PARTITION BY image_id ORDER BY det_id) AS i FROM (SELECT DISTINCT image_id, det_id FROM pr)),
+tj AS (SELECT image_id, ann_id, CAST(1 AS BIGINT) << CAST(row_number() OVER (PARTITION BY image_id ORDER BY ann_id) - 1 AS INT) AS bit FROM (SELECT DISTINCT image_id, ann_id FROM pr)),
+op AS (SELECT image_id, i, CAST(0 AS BIGINT) AS bit, 0.0::DOUBLE AS w FROM di UNION ALL SELECT pr.image_id, di.i, tj.bit, pr.w FROM pr JOIN di USING (image_id, det_id) JOIN tj USING (image_id, ann_id)),
+st AS (SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS mask, 0.0::DOUBLE AS gain FROM di
+  UNION ALL SELECT s.image_id, o.i, s.mask | o.bit, max(s.gain + o.w) FROM st s JOIN op o ON s.image_id = o.image_id AND o.i = s.i + 1 AND s.mask & o.bit = 0 GROUP BY 1, 2, 3)
+SELECT image_id, round(max(gain), 6) AS gain FROM st GROUP BY 1"""
+
+
+@query("x12_assign_totals", "det gt", TOTALS)
+def x12t(t):
+    """What the assignment gains per image over leaving all pairs open (the limit of 0.8 less the cost of each pair)."""
+    return _assigned(t).groupBy("image_id").agg(F.round(F.sum(0.8 - F.col("cost")), 6).alias("gain"))
 
 
 @query("l01_top_per_image", "det", "SELECT image_id, det_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY conf DESC, det_id) AS q FROM det) z WHERE q <= 3")
