@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from .words import bounded_sample, per_batch, present
 
 # Closed word classes of the grammar.
+INSULTS = (
+    "idiot idiots moron morons stupid dumb trash scum loser losers clown pathetic worthless disgusting imbecile jerk retard filth "
+    "dumm trottel abschaum versager schwein dreckig imbécile crétin ordure minable pourriture imbécil estúpido basura inútil escoria"
+).split()
 THREATS = "kill hurt destroy attack burn shoot stab beat punish crush".split()
 TARGETS = "you your u he she they them him her his their people everyone du ihr sie tu vous ils elles usted ustedes ellos ellas".split()
 NEGATIONS = "not no never none nobody isn't aren't don't nicht kein keine nie pas jamais aucun nunca nada".split()
@@ -22,9 +26,11 @@ REPORTING = "said says say wrote writes claimed claims called reported quoted sa
 STEMS = (4, 5, 6)
 #: Words that must stand before a stem in toxic texts (as bits of a 64-bit map: copies of one text add none), and how much
 #: likelier it must be there, to become an insult.
-SUPPORT, LIFT = 5, 40.0
+SUPPORT, LIFT = 5, 20.0
 #: A stem of whose toxic texts this share holds one longer stem or word adds nothing but chance finds, and is left out.
 EXPLAINED = 0.9
+#: Weight of the fixed insults, unless labelled texts say more or, by occurring in more clean than toxic ones, the contrary.
+PRIOR = 4.0
 #: Labelled rows that the grammar is fitted on at most; the sample is taken by a hash of the id.
 LABELLED_ROWS = 200_000
 
@@ -105,59 +111,79 @@ def _logistic(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, float
 def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", rows: int = LABELLED_ROWS) -> Grammar:
     """Learn the insult arcs and the calibration from labelled documents for which ``training`` (over ``id_col``) holds.
 
-    At most ``rows`` labelled ids are used, the first by hash; that many 9-byte rows are the proven bound of the broadcast.
-    Without toxic or without clean rows the grammar has no insults and scores every text the same.
+    The insults are counted over all these documents; the calibration is fitted on a third of them with the insults that the other
+    two thirds give. At most ``rows`` labelled ids are used, the first by hash; that many 9-byte rows are the proven bound of the broadcast.
+    Without toxic or without clean rows only the fixed insults are known.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).where(training)
     known = bounded_sample(known.select(F.col(id_col).cast("long").alias("d"), (F.col("toxic") == 1).alias("toxic")), rows, "d", "toxic")
     texts = docs.select(F.col(id_col).cast("long").alias("d"), present(text_col).alias("data")).join(F.broadcast(known), "d")
+    texts = texts.select("data", "toxic", (F.pmod(F.xxhash64(F.lit(5), "data"), F.lit(3)) == 0).alias("aside"))
 
     def count(b: pa.RecordBatch) -> dict:
-        seen: dict[str, list[int]] = {"": [0, 0, 0]}  # under a name that is no word: rows of the class itself
-        for text, toxic in zip(b.column("data").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+        # per feature: clean and toxic texts, words before it in toxic ones; the same over the texts not set aside
+        seen: dict[str, list[int]] = {"": [0] * 6}  # under a name that is no word: rows of the class itself
+        for text, toxic, aside in zip(*(b.column(c).to_pylist() for c in ("data", "toxic", "aside")), strict=True):
             tokens = _WORD.findall(text.decode("utf-8", "replace").lower())
-            seen[""][toxic] += 1
-            for f in {f for w in set(tokens) for f in features(w)}:
-                seen.setdefault(f, [0, 0, 0])[toxic] += 1
+            parts = (0,) if aside else (0, 3)
+            for f in {"", *(f for w in set(tokens) for f in features(w))}:
+                own = seen.setdefault(f, [0] * 6)
+                for p in parts:
+                    own[p + toxic] += 1
             if toxic:
                 for before, w in {*zip(["", *tokens], tokens, strict=False)}:
                     bit = 1 << (crc32(before.encode()) & 63)
                     for f in features(w):
-                        seen[f][2] |= bit
-        maps = np.array([x[2] for x in seen.values()], np.uint64).view(np.int64)
-        return {"feature": list(seen), "clean": pa.array([x[0] for x in seen.values()]), "toxic": pa.array([x[1] for x in seen.values()]), "before": maps}
-
-    counts = per_batch(texts.select("data", "toxic"), count, "feature string, clean long, toxic long, before long")
-    counts = counts.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("before").alias("before"))
-    found = counts.where((F.col("feature") == "") | (F.bit_count("before") >= SUPPORT) & (F.col("toxic") > F.col("clean"))).collect()
-    total = next(((r.clean, r.toxic) for r in found if r.feature == ""), (0, 0))
-    insults = {}
-    if all(total):
-        longer: dict[str, int] = {}
-        for r in found:
-            word = r.feature.rstrip("~")
-            for k in STEMS:
-                if len(word) > k:
-                    longer[word[:k] + "~"] = max(longer.get(word[:k] + "~", 0), r.toxic)
-        for r in found:
-            if longer.get(r.feature, 0) >= EXPLAINED * r.toxic:
-                continue
-            lift = (r.toxic + 0.5) / (total[1] + 1) / ((r.clean + 0.5) / (total[0] + 1))
-            if r.feature and lift >= LIFT:
-                insults[r.feature] = float(np.log(lift))
-    grammar = Grammar(insults)
+                        for p in parts:
+                            seen[f][p + 2] |= bit
+        columns = np.array(list(seen.values()), np.uint64).view(np.int64).T
+        return {"feature": list(seen)} | {f"c{i}": columns[i] for i in range(6)}
+
+    counts = per_batch(texts, count, "feature string, " + ", ".join(f"c{i} long" for i in range(6)))
+    merged = [(F.bit_or if i in (2, 5) else F.sum)(f"c{i}").alias(f"c{i}") for i in range(6)]
+    often = [(F.bit_count(f"c{p + 2}") >= SUPPORT) & (F.col(f"c{p + 1}") > F.col(f"c{p}")) for p in (0, 3)]
+    wanted = (F.col("feature") == "") | F.col("feature").isin(INSULTS) | often[0] | often[1]
+    rows_found = counts.groupBy("feature").agg(*merged).where(wanted).collect()
+    grammar = Grammar(_insults([(r.feature, r.c0, r.c1, r.c2) for r in rows_found]))
+    trial = Grammar(_insults([(r.feature, r.c3, r.c4, r.c5) for r in rows_found]))
 
     def weigh(b: pa.RecordBatch) -> dict:
-        return {"x": [round(float(np.log1p(grammar.weight(t.decode("utf-8", "replace")))), 2) for t in b.column("data").to_pylist()], "toxic": b.column("toxic")}
-
-    hist = per_batch(texts.select("data", "toxic"), weigh, "x double, toxic boolean")
-    hist = hist.groupBy("x").agg(F.count("*").alias("n"), F.sum(F.col("toxic").cast("long")).alias("y")).collect()
-    if hist:
-        x, n, y = (np.array([r[k] for r in hist], float) for k in range(3))
-        grammar.slope, grammar.offset = _logistic(x, n, y)
+        return {"x": [round(float(np.log1p(trial.weight(t.decode("utf-8", "replace")))), 2) for t in b.column("data").to_pylist()], "toxic": b.column("toxic")}
+
+    def histogram(some: DataFrame) -> np.ndarray:
+        hist = per_batch(some.select("data", "toxic"), weigh, "x double, toxic boolean").groupBy("x")
+        return np.array(hist.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).collect(), float).reshape(-1, 3)
+
+    # how much weight is toxic shows on texts that the trial's insults were not learned from
+    hist = histogram(texts.where("aside"))
+    if not 0 < hist[:, 2].sum() < hist[:, 1].sum():
+        hist = histogram(texts)
+    if len(hist):
+        grammar.slope, grammar.offset = _logistic(*hist.T)
     return grammar
 
 
+def _insults(found: list[tuple[str, int, int, int]]) -> dict[str, float]:
+    """Weights by feature from counted rows (feature, clean texts, toxic texts, bits of the words before it)."""
+    clean, toxic = next(((c, t) for f, c, t, _ in found if not f), (0, 0))
+    out = dict.fromkeys(INSULTS, PRIOR)
+    for f, c, t, _ in found:
+        if f in out and c > t:
+            del out[f]
+    likely = [(f, c, t) for f, c, t, before in found if f and (before & (1 << 64) - 1).bit_count() >= SUPPORT and t > c] if clean and toxic else []
+    longer: dict[str, int] = {}
+    for f, _, t in likely:
+        word = f.rstrip("~")
+        for k in STEMS:
+            if len(word) > k:
+                longer[word[:k] + "~"] = max(longer.get(word[:k] + "~", 0), t)
+    for f, c, t in likely:
+        lift = (t + 0.5) / (toxic + 1) / ((c + 0.5) / (clean + 1))
+        if lift >= LIFT and longer.get(f, 0) < EXPLAINED * t:
+            out[f] = max(float(np.log(lift)), out.get(f, 0.0))
+    return out
+
+
 def score(docs: DataFrame, grammar: Grammar, text_col: str = "text", name: str = "toxicity") -> DataFrame:
     """All rows of ``docs`` with the probability that the text is toxic, in a column ``name`` (which it replaces).
 

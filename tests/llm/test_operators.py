@@ -333,7 +333,7 @@ def test_toxicity(spark, documents, empty):
     assert awkward.where("toxicity < 0 OR toxicity > 1 OR toxicity IS NULL").count() == 0
     assert toxicity.score(empty, grammar).count() == 0
     blind = toxicity.fit(docs, labels.limit(0), remainder(3) != 1)
-    assert blind.insults == {} and len({r.toxicity for r in toxicity.score(docs, blind).collect()}) == 1
+    assert blind.insults == dict.fromkeys(toxicity.INSULTS, toxicity.PRIOR) and len({r.toxicity for r in toxicity.score(docs, blind).collect()}) == 1
 
 
 def test_grammar_weighs_clauses():
