@@ -24,9 +24,8 @@ END = b"\n"
 LISTED, FREQUENT, CLASS, OTHERS = 100_000, 2048, 64, 96
 #: Hidden units, steps of a truncated window, texts side by side in training and in scoring.
 HIDDEN, WINDOW, TRAIN_LANES, LANES = 24, 24, 48, 512
-#: Share of the training texts that the weights see (one in so many, another share each round), rounds, and texts of one replica on
-#: average. The counts behind every probability come from all training texts.
-ONE_IN, ROUNDS, REPLICA = 16, 2, 1500
+#: Rounds of training, each over another share of the training texts (together all of them), and texts of one replica on average.
+ROUNDS, REPLICA = 4, 1500
 #: Weight given to every word and to one unseen word of a class.
 SMOOTH = 0.1
 
@@ -286,8 +285,8 @@ def _average(weights: DataFrame) -> DataFrame:
 
 
 def fit(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
-    """Train on ``texts`` (key, data): replicas start each round from the same weights, see their own texts, and are averaged
-    with the number of their tokens as weight. Their number grows with the texts, so a replica's work doesn't."""
+    """Train once on each of ``texts`` (key, data): replicas start each round from the same weights, see their own texts, and are
+    averaged with the number of their tokens as weight. Their number grows with the texts, so a replica's work doesn't."""
     p = initial(v)
     if not v.words:
         return p
@@ -295,7 +294,7 @@ def fit(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
     shapes = {k: x.shape for k, x in p.items()}
     start = v.rank[END]
     for turn in range(ROUNDS):
-        some = texts.where(F.pmod(F.xxhash64(F.lit(11), "key"), F.lit(ONE_IN)) == turn)
+        some = texts.where(F.pmod(F.xxhash64(F.lit(11), "key"), F.lit(ROUNDS)) == turn)
         replicas = max(1, -(-some.count() // REPLICA))
         held = spark.sparkContext.broadcast((p, v))
 
@@ -344,7 +343,7 @@ def _log(x) -> Column:
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, whether it was held out, token counts, the smoothed unigram score and the model's, both log10.
 
-    Rows for which ``training`` (a condition on ``docs``) holds are counted; a share of them trains the weights. A token is a
+    Rows for which ``training`` (a condition on ``docs``) holds are counted and train the weights. A token is a
     lower-cased word or the end of the text. The model gives P(class | what came before), times P(word | class, before) for frequent words
     and the word's smoothed share of its class for the others, unseen words included, so the probabilities of all words add
     up to one. Counts of the LISTED most frequent words travel with the model; rarer words are joined with the counts.

@@ -408,6 +408,14 @@ def test_language_model(spark, documents, empty):
     assert {r.train_tokens for r in none} == {0} and all(math.isfinite(r.score) for r in none)
 
 
+def test_every_training_text_reaches_the_weights(spark):
+    rows = [(i, f"only{i} " * 5) for i in range(120)]
+    texts = spark.createDataFrame(rows, "key long, text string").select("key", F.col("text").cast("binary").alias("data"))
+    v = language_model.vocabulary(language_model.count_words(texts))
+    before, after = language_model.initial(v)["wx"], language_model.fit(texts, v)["wx"]
+    assert len(v.words) == 121 and (before[:121] != after[:121]).any(axis=1).all()
+
+
 def small_vocabulary():
     words = [b"\n", *(f"w{i}".encode() for i in range(30))]
     types = np.zeros(language_model.OTHERS)
