@@ -59,6 +59,16 @@ class Pattern:
         return best, end
 
 
+    def regions(self, origins: list[int]) -> Iterator[tuple[int, int]]:
+        """Stretches of text that hold every match with a piece on one of the ascending ``origins``; those that overlap are one."""
+        first = last = origins[0]
+        for origin in [*origins[1:], None]:
+            if origin is None or origin - last > self.size + 3 * self.edits:
+                yield max(0, first - self.edits), last + self.size + 2 * self.edits
+                first = origin
+            last = origin
+
+
 class Finder:
     """Exact search for the pieces of a block of items in normalised texts, with verification around each hit."""
 
@@ -74,20 +84,18 @@ class Finder:
 
     def find(self, text: str) -> list[dict]:
         """Per item its closest match within the budget: distance, and place in the normalised text."""
-        found: dict[int, tuple[int, int]] = {}
-        done: dict[int, int] = {}
+        origins: dict[int, set[int]] = {}
         for last, (size, owners) in self.automaton.iter(text) if self.patterns and text else ():
             for k, start in owners:
-                p = self.patterns[k][1]
-                origin = last + 1 - size - start
-                # hits come in text order: one region serves all hits on nearby diagonals
-                if origin <= done.get(k, -(1 << 60)) or found.get(k, (1, 0))[0] == 0:
-                    continue
-                a, z = max(0, origin - p.edits), origin + p.size + 2 * p.edits
-                distance, end = p.best(text[a:z])
-                done[k] = origin + p.edits
-                if distance <= p.edits and distance < found.get(k, (1 << 60, 0))[0]:
+                origins.setdefault(k, set()).add(last + 1 - size - start)
+        found: dict[int, tuple[int, int]] = {}
+        for k, places in origins.items():
+            for a, z in self.patterns[k][1].regions(sorted(places)):
+                distance, end = self.patterns[k][1].best(text[a:z])
+                if distance <= self.patterns[k][1].edits and distance < found.get(k, (1 << 60, 0))[0]:
                     found[k] = (distance, a + end)
+                if distance == 0:
+                    break
         return [
             {"item_id": self.patterns[k][0], "distance": d, "start": max(0, end - self.patterns[k][1].size), "end": end}
             for k, (d, end) in sorted(found.items())

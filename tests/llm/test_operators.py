@@ -180,6 +180,23 @@ def test_find_leaks(spark, documents):
     assert none.where("size(leaks) > 0").count() == 0 and none.count() == docs.count()
 
 
+def test_find_leaks_of_an_item_that_repeats_a_phrase():
+    item = " what is the sum of three and seven and what is the sum of five and nine if both of them are then doubled once more "
+    for text in (item.replace("what is", "what was", 1).replace("five and", "five amd"), item.replace("and what is", "amd what was")):
+        assert [x["distance"] for x in decontaminate.Finder([(1, item)], 20).find(f"x {text} y")] == [3]
+    r = random.Random(8)
+    for _ in range(150):
+        phrase = "".join(r.choice("abc ") for _ in range(25))
+        item = "".join(r.choice([phrase, phrase[:12], "".join(r.choice("abc ") for _ in range(9))]) for _ in range(5))
+        text = [*item]
+        for _ in range(r.randint(1, 5)):
+            text[r.randrange(len(text))] = r.choice(["", "x", "ab"])
+        text = phrase + "".join(text) + phrase
+        got = {x["distance"] for x in decontaminate.Finder([(1, item)], 20).find(text)}
+        best = semi_global(item, text)
+        assert got == ({best} if best <= len(item) // 20 else set())
+
+
 # 9 packing
 
 
