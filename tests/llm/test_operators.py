@@ -404,6 +404,29 @@ def test_html_without_article_element(spark):
     assert {r.page_id: r.text for r in out} == {i: (f"long text {i} " * 9).strip() + f"\nmore {i}" for i in range(5)}
 
 
+def test_html_marks_are_attributes_of_their_own_name():
+    kept = ['style="overflow:hidden"', 'aria-hidden="false"', "data-hidden=1", 'title="the hidden coast"', "data-class='ad'", "data-id=share", 'alt="class=ad"']
+    for attribute in kept:
+        for tag in ("div", "article", "main", "body", "p"):
+            assert html_templates.blocks(f"<{tag} {attribute}>Text</{tag}>")[0], (tag, attribute)
+    for attribute in ("hidden", 'hidden=""', 'aria-hidden="true"', 'class="x ad"', "id=share", 'role="navigation"'):
+        assert not html_templates.blocks(f"<div {attribute}>Text</div>")[0], attribute
+    page = '<h2 id="related-work">Related</h2><p id="share-prices">Prices</p><h3 id=comments-on-x>On x</h3><p class="notice">Off'
+    assert [t for _, t in html_templates.blocks(page)[0]] == ["Related", "Prices", "On x"]
+
+
+def test_html_unclosed_paragraphs_and_items_end():
+    def texts(page):
+        return [t for _, t in html_templates.blocks(page)[0]]
+
+    assert texts('<div><p class="notice">Off<p>One<p>Two</div>') == ["One", "Two"]
+    assert texts('<p class="notice">Off <b class="ad">off<h2>Title</h2>Text') == ["Title", "Text"]
+    assert texts('<blockquote><p class="notice">Off</blockquote>Text') == ["Text"]
+    assert texts('<ul><li class="share">Off<p>off<ul><li>off</ul>off<li>One</ul>Text') == ["One", "Text"]
+    assert texts('<ul><li>One<li class="share">Off</ul><p>Text</p>') == ["One", "Text"]
+    assert texts('<div class="ad"><p>off<div>off</div>off</div>Text') == ["Text"]
+
+
 # 3 language model
 
 
