@@ -39,17 +39,26 @@ _WORD = re.compile(r"[^\W\d_][\w']*")
 
 # Symbols of the clause alphabet.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: Composed transducer: (state, symbol) -> (next state, factor on the weight of an insult or threat read there). States
-#: remember what governs the clause: nothing, a target, a negation, reported speech, or negated reported speech.
-PLAIN, AIMED, NEGATED, REPORTED, DENIED = range(5)
-ARCS = {
-    (PLAIN, TARGET): (AIMED, 0.0), (PLAIN, NEGATION): (NEGATED, 0.0), (PLAIN, REPORT): (REPORTED, 0.0),
-    (AIMED, NEGATION): (NEGATED, 0.0), (AIMED, REPORT): (REPORTED, 0.0), (NEGATED, REPORT): (DENIED, 0.0),
-    (REPORTED, NEGATION): (DENIED, 0.0),
-    (PLAIN, INSULT): (PLAIN, 1.0), (AIMED, INSULT): (AIMED, 1.5), (NEGATED, INSULT): (NEGATED, 0.6),
-    (REPORTED, INSULT): (REPORTED, 0.7), (DENIED, INSULT): (DENIED, 0.4),
-    (AIMED, THREAT): (AIMED, 1.0), (PLAIN, THREAT): (PLAIN, 0.0),
+#: What governs a clause: nothing, a negation, reported speech, or negated reported speech, and what an insult or threat counts then.
+PLAIN, NEGATED, REPORTED, DENIED = range(4)
+GOVERNED = {(PLAIN, NEGATION): NEGATED, (PLAIN, REPORT): REPORTED, (NEGATED, REPORT): DENIED, (REPORTED, NEGATION): DENIED}
+FACTOR = {PLAIN: 1.0, NEGATED: 0.6, REPORTED: 0.7, DENIED: 0.4}
+#: How far a threat is: no part of it, a target, a threat that waits for its target, or a target that threatens and may name another.
+#: (state, symbol) -> (next state, share of a threat that is complete there).
+FREE, AIMED, PENDING, ACTING = range(4)
+THREATENED = {
+    (FREE, TARGET): (AIMED, 0.0), (FREE, THREAT): (PENDING, 0.0), (PENDING, TARGET): (AIMED, 1.0),
+    (AIMED, THREAT): (ACTING, 0.5), (ACTING, TARGET): (AIMED, 0.5),
 }
+#: Composed transducer: (state, symbol) -> (next state, factor on the weight of an insult or threat read there).
+ARCS = {}
+for _g, _factor in FACTOR.items():
+    for _a in (FREE, AIMED, PENDING, ACTING):
+        for _s in (INSULT, THREAT, TARGET, NEGATION, REPORT):
+            _next, _share = THREATENED.get((_a, _s), (_a, 0.0))
+            if _s == INSULT:
+                _share = 1.5 if _g == PLAIN and _a in (AIMED, ACTING) else 1.0
+            ARCS[(_g, _a), _s] = (GOVERNED.get((_g, _s), _g), _next), _share * _factor
 _CLOSED = {w: s for s, group in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTING)) for w in group}
 
 
@@ -76,7 +85,7 @@ class Grammar:
 
     def clause(self, tokens: list[str]) -> float:
         """Weight of the best path: what an insult or threat counts under what governs it."""
-        state, total = PLAIN, 0.0
+        state, total = (PLAIN, FREE), 0.0
         for t in tokens:
             weight = self.insult(t)
             symbol = INSULT if weight else _CLOSED.get(t, OTHER)

@@ -362,6 +362,14 @@ def test_grammar_weighs_clauses():
     assert g.weight("not. a blarg") == plain  # a clause ends a negation
 
 
+def test_threats_before_their_target():
+    g = toxicity.Grammar({}, 1.0, -1.0)
+    for text in ("I will kill you", "we will destroy them", "burn your house"):
+        assert g.weight(text) == 1.0 > g.weight("they burn wood"), text
+    assert 1 > g.weight("he said I will kill you") > g.weight("I will not kill you") > g.weight("he said I will not kill you") > 0
+    assert g.weight("kill time") == g.weight("kill. you") == 0
+
+
 def test_copies_do_not_make_insults(spark):
     docs, labels = toxic_table(spark)
     copy = "quirk snark " + " ".join(f"c{i}" for i in range(20))
