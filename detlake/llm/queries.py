@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from ..session import scratch_path
-from . import chat, decontaminate, html_templates, language_model, maxscore, near_duplicates, oracles, packing, repeats, token_counts, token_files, toxicity
+from . import chat, decontaminate, html_templates, language_model, maxscore, near_duplicates, oracles, packing, repeats, spelling, token_counts, token_files, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {"op2_chat": oracles.OP2, "op8_top_k": oracles.OP8, "op7_near_duplicates": oracles.OP7, "op10_repeats": oracles.OP10}
@@ -106,3 +106,8 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"), slip=31)
