@@ -59,3 +59,107 @@ pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::B
 SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM pairs)
 WHERE rank <= 5
 """
+
+
+def _crc32(data: str) -> str:
+    """crc32 of a list of bytes: each enters at the first of eight steps of the reflected polynomial."""
+    steps = f"list_prepend(4294967295::BIGINT, flatten(list_transform({data}, lambda b: [b, 0, 0, 0, 0, 0, 0, 0])))"
+    return f"xor(list_reduce({steps}, lambda c, x: xor(xor(c, x) // 2, (xor(c, x) % 2) * 3988292384)), 4294967295)"
+
+
+def _bytes(text: str) -> str:
+    return f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT)"
+
+
+OP12 = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, w, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\u00C0-\u00FF]{{7,}}')) AS w FROM documents) GROUP BY doc_id, w),
+coded AS (SELECT w, k, {_bytes("(coalesce(doc_id::VARCHAR, '') || ':' || w)")} AS b FROM runs),
+hashed AS MATERIALIZED (SELECT w, k, {_crc32('b')} AS h FROM coded),
+slipped AS (SELECT CASE WHEN h % 31 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, k FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS MATERIALIZED (SELECT word, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+one_way AS (
+  SELECT a.word AS u, b.word AS v FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT word, rest FROM cut SEMI JOIN (SELECT word AS rest FROM words) w USING (rest)),
+pairs AS MATERIALIZED (SELECT u, v FROM one_way UNION SELECT v, u FROM one_way),
+best AS (SELECT u, count(*) AS n_near, min({{'less': -w.n, 'word': v}}) AS b FROM pairs JOIN words w ON w.word = v GROUP BY u),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN -b.b.less >= 10 * w.n THEN b.b.word END AS form,
+    CASE WHEN -b.b.less >= 10 * w.n THEN -b.b.less END AS form_n FROM words w LEFT JOIN best b ON b.u = w.word),
+follow AS (SELECT word, word AS place, form AS next FROM forms UNION ALL SELECT f.word, f.next, g.form FROM follow f JOIN forms g ON g.word = f.next)
+SELECT f.word, f.form, l.place AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n::BIGINT AS form_n FROM forms f JOIN follow l ON l.word = f.word AND l.next IS NULL
+"""
+
+
+def _repair_step(state: int) -> str:
+    """Cheapest (cost, audit) in ``state`` behind a row, from those before it with their insertions."""
+
+    def arc(edit: str, cost: str, before: int, when: str) -> str:
+        return f"CASE WHEN {when} THEN {{'c': v[{before + 1}].c + {cost}, 'a': v[{before + 1}].a || '{edit}'}} END"
+
+    stays, more = "fault NOT IN ('blank', 'duplicate')", "CASE fault WHEN 'truncated' THEN 3 ELSE 0 END"
+    arcs = [arc("D", "4", state, "true")]
+    for before, role, to in ((0, "s", 1), (0, "u", 2), (1, "u", 2), (2, "a", 3), (3, "u", 2)):
+        if to == state:
+            arcs.append(arc("K", more, before, f"{stays} AND r = '{role}'"))
+            if role != "s":
+                arcs.append(arc("R", f"3 + {more}", before, stays))
+    return f"list_min([{', '.join(arcs)}])"
+
+
+def _inserted(v: str) -> str:
+    """``v`` with one more insertion where that is cheaper: into the state after u from all others, into the state after a from that after u."""
+
+    def more(i: int) -> str:
+        return f"{{'c': {v}[{i}].c + 3, 'a': {v}[{i}].a || 'I'}}"
+
+    return f"[{v}[1], {v}[2], list_min([{v}[3], {more(1)}, {more(2)}, {more(4)}]), list_min([{v}[4], {more(3)}])]"
+
+
+OP13 = f"""
+WITH RECURSIVE coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_bytes("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} AS b FROM conversations),
+hashed AS MATERIALIZED (SELECT conv_id, turn, role, text, {_crc32('b')} % 20 AS k FROM coded),
+damaged AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, unnest(CASE k WHEN 0 THEN []::INT[] WHEN 3 THEN [0, 1] ELSE [0] END)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+marked AS (
+  SELECT *, left(role, 1) AS r, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM placed),
+faulty AS MATERIALIZED (
+  SELECT *, CASE WHEN t = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM marked),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, [{{'c': 0::BIGINT, 'a': ''}}, {{'c': 1000000000, 'a': ''}}, {{'c': 1000000000, 'a': ''}}, {{'c': 1000000000, 'a': ''}}] AS v FROM counted
+  UNION ALL
+  SELECT conv_id, i, [{', '.join(map(_repair_step, range(4)))}] FROM (
+    SELECT f.conv_id, f.i, f.fault, f.r, {_inserted('v1')} AS v FROM (
+      SELECT w.conv_id, w.i, {_inserted('w.v')} AS v1 FROM walk w) w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1)),
+ended AS (
+  SELECT conv_id, list_min([v[1], v[4]]) AS e FROM (
+    SELECT conv_id, {_inserted('v1')} AS v FROM (SELECT w.conv_id, {_inserted('w.v')} AS v1 FROM walk w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i))),
+edits AS (
+  SELECT conv_id, e.c AS cost, e.a AS audit, unnest(range(1, length(e.a) + 1)) AS j FROM ended),
+steps AS (
+  SELECT conv_id, j, audit[j] AS edit, sum(CASE audit[j] WHEN 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY j) AS i,
+    sum(CASE audit[j] WHEN 'D' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY j) AS place FROM edits),
+rows AS (
+  SELECT s.*, f.role, f.text, f.r, max(CASE WHEN edit = 'K' AND f.r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY s.conv_id) AS system
+  FROM steps s JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = greatest(s.i, 1) WHERE edit <> 'D'),
+texts AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+    CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY place) AS t FROM rows GROUP BY conv_id)
+SELECT d.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+  coalesce(c.illegal, 0) AS illegal, coalesce(e.e.c, 0) AS cost, coalesce(e.e.a, '') AS audit, sha256(coalesce(t.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
+  LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM d.conv_id
+"""

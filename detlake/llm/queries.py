@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from ..session import scratch_path
-from . import chat, decontaminate, html_templates, language_model, maxscore, near_duplicates, oracles, packing, repeats, spelling, token_counts, token_files, toxicity
+from . import chat, decontaminate, html_templates, language_model, maxscore, near_duplicates, oracles, packing, repair, repeats, spelling, token_counts, token_files, toxicity
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {"op2_chat": oracles.OP2, "op8_top_k": oracles.OP8, "op7_near_duplicates": oracles.OP7, "op10_repeats": oracles.OP10}
+ORACLES: dict[str, str] = {
+    "op2_chat": oracles.OP2, "op8_top_k": oracles.OP8, "op7_near_duplicates": oracles.OP7, "op10_repeats": oracles.OP10,
+    "op12_spelling": oracles.OP12, "op13_repair": oracles.OP13}
 
 
 def query(fn):
@@ -111,3 +113,11 @@ def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, folder, "documents"), slip=31)
+
+
+@query
+def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations with faults made on purpose, repaired."""
+    done = repair.repair(repair.damage(table(spark, folder, "conversations")), gone_col="gone")
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    return done.withColumn("repaired_sha256", F.sha2(F.array_join(lines, "\n"), 256)).drop("turns")

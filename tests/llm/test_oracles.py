@@ -12,4 +12,5 @@ def test_query_equals_sql(name, spark, duck):
     df = QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
     theirs = duck.execute(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall()
-    assert theirs and sorted(map(tuple, df.select(cols).collect())) == sorted(theirs)
+    order = lambda row: [(x is None, x) for x in row]
+    assert theirs and sorted(map(tuple, df.select(cols).collect()), key=order) == sorted(theirs, key=order)
