@@ -10,34 +10,14 @@ from pyspark.sql import types as T
 
 from ..functions import regions as RG
 from ..functions import similarity as S
-from ..functions.boxes import cols
 from ..functions.rotated import envelope
+from . import grid
 
 BOX = ("x1", "y1", "x2", "y2")
-# grid cell in pixels: a few cells per ordinary photo, so most boxes touch one or two
+# smallest grid cell in pixels: a few cells per ordinary photo, so most boxes touch one or two
 CELL = 512.0
 
 
-# cells from the origin in each direction; what lies beyond, up to infinity, belongs to the outermost cell
-REACH = 128
-
-
-def _cell(v: Column, cell: float) -> Column:
-    """Grid cell of a coordinate. Order is kept, so boxes that touch still share the cell of their intersection's corner."""
-    return F.floor(F.least(F.greatest(v / cell, F.lit(-float(REACH))), F.lit(float(REACH))))
-
-
-def _cells(df: DataFrame, box: Sequence[Column], cell: float) -> DataFrame:
-    """One row per grid cell that the box touches: a bounded number, also for a corrupt box with huge or infinite sides."""
-    x1, y1, x2, y2 = cols(*box)
-
-    def span(lo, hi):
-        a = _cell(lo, cell)
-        return F.sequence(a, F.greatest(_cell(hi, cell), a))
-
-    return df.withColumn("_gx", F.explode(span(x1, x2))).withColumn("_gy", F.explode(span(y1, y2)))
-
-
 def candidate_pairs(
     a: DataFrame,
     b: DataFrame,
@@ -46,28 +26,24 @@ def candidate_pairs(
     b_box: Sequence = BOX,
     condition: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
     cell: float = CELL,
+    like: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Pairs with equal ``keys`` whose envelopes touch; columns of ``b`` come back prefixed with ``b_``.
 
-    Both sides are spread over grid cells and joined on keys and cell, so one crowded key is divided by position and never
-    compared as a whole. A pair that meets in several cells is kept only in the cell of its intersection's top-left
-    corner, which avoids a distinct. ``condition(a, b)`` runs inside the join.
+    Both sides are spread over a grid whose cells grow with the boxes (see :mod:`grid`) and joined on keys and cell, so one
+    crowded key is divided by position and never compared as a whole, on a photo or on a raster of any size. ``cell`` is the
+    smallest cell in pixels. A pair that meets in several cells is kept in one of them, which avoids a distinct.
+    ``condition(a, b)`` runs inside the join; ``like`` are tables with the same boxes that are cheaper to read.
     """
-    ax, bx = [F.col(c) if isinstance(c, str) else c for c in a_box], [F.col(c) if isinstance(c, str) else c for c in b_box]
-    names = ("_x1", "_y1", "_x2", "_y2")
-    left = _cells(a.withColumns(dict(zip(names, ax))), names, cell)
-    right = _cells(b.withColumns(dict(zip(names, bx))), names, cell)
-    right = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns])
+    left, right = grid.spread_pair(a, b, a_box, b_box, cell, like)
+    extra = {"_by", "_lv", "_s", "_gx", "_gy", "_x1", "_y1", "_x2", "_y2"}
+    right = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns if c != "_s"])
     L, R = (lambda c: F.col(c)), (lambda c: F.col(f"b_{c}"))
-    on = (L("_gx") == R("_gx")) & (L("_gy") == R("_gy"))
+    on = grid.meet(L, R)
     for k in keys:
         on = on & (L(k) == R(k))
-    on = on & (L("_x1") <= R("_x2")) & (R("_x1") <= L("_x2")) & (L("_y1") <= R("_y2")) & (R("_y1") <= L("_y2"))
-    on = on & (_cell(F.greatest(L("_x1"), R("_x1")), cell) == L("_gx"))
-    on = on & (_cell(F.greatest(L("_y1"), R("_y1")), cell) == L("_gy"))
     if condition is not None:
         on = on & condition(L, R)
-    extra = {"_gx", "_gy", *names}
     keep = [c for c in a.columns] + [f"b_{c}" for c in b.columns if c not in keys and c not in extra]
     return left.join(right, on).select(*keep)
 
@@ -82,6 +58,7 @@ def overlap_join(
     strategy: str = "grid",
     cell: float = CELL,
     name: str = "sim",
+    like: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Pairs of boxes with the same keys whose ``measure`` reaches the threshold (exceeds it when ``strict``).
 
@@ -102,7 +79,7 @@ def overlap_join(
             on = on & (F.col(k) == F.col(f"b_{k}"))
         pairs = a.join(right, on).drop(*[f"b_{k}" for k in keys])
     elif strategy == "grid":
-        pairs = candidate_pairs(a, b, keys, condition=ok, cell=cell)
+        pairs = candidate_pairs(a, b, keys, condition=ok, cell=cell, like=like)
     else:
         raise ValueError(strategy)
     return pairs.withColumn(name, sim(F.col, lambda c: F.col(f"b_{c}")))
@@ -142,18 +119,14 @@ def region_keys(regions: DataFrame) -> list[str]:
     return ["video_id"] if "video_id" in regions.columns else []
 
 
-def in_region(points: DataFrame, regions: DataFrame, x="cx", y="cy", inclusive=False, cell=CELL) -> DataFrame:
-    """Points joined to every region that contains them.
+def in_region(points: DataFrame, regions: DataFrame, x="cx", y="cy", inclusive=False) -> DataFrame:
+    """Points joined to every region that contains them; the outline counts only when ``inclusive``.
 
-    Regions are spread over the grid cells of their envelopes and each point looks only into its own cell. Regions with a
-    ``video_id`` hold for that video only, which is then part of the join key. Spark broadcasts the region side by itself when it is
-    small.
+    Regions are cut into cells that lie inside or on the outline, and each point looks only into its own cell (see :mod:`grid`). Regions
+    with a ``video_id`` hold for that video only, which is then part of the join key. Spark broadcasts the region side by itself
+    when it is small.
     """
-    r = regions.withColumns({f"_{k}": c for k, c in envelope("points").items()})
-    r = _cells(r, ("_x1", "_y1", "_x2", "_y2"), cell).drop("_x1", "_y1", "_x2", "_y2")
-    p = points.withColumns({"_gx": _cell(F.col(x), cell), "_gy": _cell(F.col(y), cell)})
-    out = p.join(r, [*region_keys(regions), "_gx", "_gy"]).filter(RG.in_polygon("points", x, y, inclusive))
-    return out.drop("_gx", "_gy")
+    return grid.points_in_regions(points, regions, region_keys(regions), x, y, inclusive)
 
 
 def near_regions(steps: DataFrame, regions: DataFrame, px="px", py="py", x="cx", y="cy", cell=CELL) -> DataFrame:

@@ -82,8 +82,9 @@ def box_pairs(det, ann, threshold: float, similarity=S.iou, key="image_id", cell
     """Same-class pairs of boxes that reach ``threshold``: ``key, cls, det_id, conf, ann_id, sim``."""
     truth = _distinct_truth(ann, (key, "cls", *BOX))
     pairs = overlap_join(
-        det.select(key, "cls", "det_id", "conf", *BOX), truth, (key, "cls"), threshold, similarity, strategy=strategy, cell=cell
-    )
+        det.select(key, "cls", "det_id", "conf", *BOX), truth, (key, "cls"), threshold, similarity, strategy=strategy, cell=cell,
+        like=(det, ann),
+    )
     return pairs.select(key, "cls", "det_id", "conf", F.col("b_ann_id").alias("ann_id"), "sim")
 
 
@@ -109,11 +110,11 @@ def match_rotated(det: DataFrame, ann: DataFrame, thresholds=THRESHOLDS, key="im
     """Match rotated boxes by the similarity of their Gaussians."""
     rb = ("cx", "cy", "w", "h", "r")
     truth = _distinct_truth(ann, (key, "cls", *rb))
-    pairs = rotated_pairs(det.select(key, "cls", "det_id", "conf", *rb), truth, (key, "cls"), min(thresholds), cell=cell)
+    pairs = rotated_pairs(det.select(key, "cls", "det_id", "conf", *rb), truth, (key, "cls"), min(thresholds), cell=cell, like=(det, ann))
     return match_pairs(det, pairs.select(key, "det_id", "conf", F.col("b_ann_id").alias("ann_id"), "sim"), thresholds, key)
 
 
-def rotated_pairs(a, b, keys, threshold, condition=None, cell=CELL) -> DataFrame:
+def rotated_pairs(a, b, keys, threshold, condition=None, cell=CELL, like=None) -> DataFrame:
     """Pairs of rotated boxes with Gaussian similarity of at least ``threshold``."""
     rb = ("cx", "cy", "w", "h", "r")
 
@@ -129,7 +130,7 @@ def rotated_pairs(a, b, keys, threshold, condition=None, cell=CELL) -> DataFrame
         return c if condition is None else condition(L, R) & c
 
     a, b = (d.withColumn("_g", gaussian(*rb)) for d in (a, b))
-    pairs = candidate_pairs(a, b, keys, a_box=square(), b_box=square(), condition=ok, cell=cell)
+    pairs = candidate_pairs(a, b, keys, a_box=square(), b_box=square(), condition=ok, cell=cell, like=like)
     return pairs.withColumn("sim", sim(F.col, lambda c: F.col(f"b_{c}"))).drop("_g", "b__g")
 
 
@@ -177,7 +178,7 @@ def match_for_confusion(det: DataFrame, ann: DataFrame, conf=0.25, iou=0.45, key
     if pairs is None:
         # of identical truths the lowest id wins; its copies count as missed
         truth = _distinct_truth(ann, (key, *BOX))
-        pairs = overlap_join(sure.select(key, "det_id", *BOX), truth, (key,), iou, strict=True, cell=cell)
+        pairs = overlap_join(sure.select(key, "det_id", *BOX), truth, (key,), iou, strict=True, cell=cell, like=(det, ann))
         pairs = pairs.select(key, "det_id", F.col("b_ann_id").alias("ann_id"), "sim")
     best = pairs.groupBy(key, "det_id").agg(F.max(F.struct("sim", (-F.col("ann_id")).alias("neg"))).alias("m"))
     won = best.groupBy(key, (-F.col("m.neg")).alias("ann_id")).agg(

@@ -144,7 +144,7 @@ def rotated_nms(det: DataFrame, thr: float = 0.45, keys=("image_id", "cls"), uid
     best = F.max_by(F.struct(uid, "conf"), F.struct("conf", (-F.col(uid)).alias("n")))
     firsts = det.groupBy(*keys, *rb).agg(best.alias("b"))
     firsts = firsts.select(*keys, *rb, F.col(f"b.{uid}").alias(uid), F.col("b.conf").alias("conf"))
-    lost = rotated_pairs(firsts, firsts, list(keys), thr, lambda L, R: outranks(L, R, "conf", uid), cell)
+    lost = rotated_pairs(firsts, firsts, list(keys), thr, lambda L, R: outranks(L, R, "conf", uid), cell, like=(det, det))
     lost = lost.select(*keys, F.col(f"b_{uid}").alias(uid)).distinct()
     left = firsts.select(*keys, uid).join(lost, [*keys, uid], "left_anti")
     return det.join(left, [*keys, uid], "left_semi")

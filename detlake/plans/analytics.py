@@ -29,6 +29,24 @@ def j04(t):
     return J.in_region(V.with_centers(t.tracks), poly).select("region_id", "video_id", "track_id", "frame_no")
 
 
+# a saw-toothed outline: 40 teeth of 20 px below a slanting roof
+SAW = [(100.0, 360.0), (900.0, 344.0), *[(900.0 - 10 * k, 400.0 + 16 * (k % 2)) for k in range(81)]]
+SAW_SQL = ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE)" for i, (x, y) in enumerate(SAW))
+
+
+@query(
+    "j04_in_outline", "tracks",
+    f"WITH {STEPS}, v(i, x, y) AS (VALUES {SAW_SQL}), e AS (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS \"by\" FROM v a JOIN v b ON b.i = (a.i + 1) % {len(SAW)}),"
+    " hit AS (SELECT video_id, track_id, frame_no, cx, cy, count(*) FILTER (((ay > cy) <> (\"by\" > cy)) AND cx < (bx - ax) * (cy - ay) / (\"by\" - ay) + ax) % 2 = 1 AS odd,"
+    " bool_or((bx - ax) * (cy - ay) = (\"by\" - ay) * (cx - ax) AND cx BETWEEN least(ax, bx) AND greatest(ax, bx) AND cy BETWEEN least(ay, \"by\") AND greatest(ay, \"by\")) AS edge"
+    " FROM tc, e GROUP BY ALL) SELECT video_id, track_id, frame_no FROM hit WHERE odd AND NOT edge",
+)
+def j04_outline(t):
+    """Rows inside an outline of 83 corners: most are told by their cell."""
+    saw = t.spark.createDataFrame([(9, SAW)], "region_id int, points array<struct<x:double,y:double>>")
+    return J.in_region(V.with_centers(t.tracks), saw).select("video_id", "track_id", "frame_no")
+
+
 @query("j05_in_region_inclusive", "tracks", f"WITH {STEPS} SELECT 1 AS region_id, video_id, track_id, frame_no FROM tc WHERE cx >= 20 AND cx <= 1080 AND cy >= 360 AND cy <= 400")
 def j05(t):
     return J.in_region(V.with_centers(t.tracks), t.region("band"), inclusive=True).select("region_id", "video_id", "track_id", "frame_no")

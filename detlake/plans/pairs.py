@@ -244,3 +244,24 @@ def j13(t):
     return u.groupBy("image_id").agg(
         F.count("*").alias("n"), F.round(F.max("conf"), 6).alias("best"), F.count_if(F.col("det_id") < 0).alias("added")
     )
+
+
+# boxes of 4 to 32,768 px on rasters of 200,000 px; one in 500 is endless for all practical purposes
+SLIDE = """
+SELECT image_id % 61 AS slide_id, image_id * 8 + det_id AS box_id, conf, x1, y1, x1 + w AS x2, y1 + h AS y2 FROM (
+  SELECT image_id, det_id, conf, CAST((image_id * 7919 + det_id * 104729) % 200000 AS DOUBLE) AS x1,
+    CAST((image_id * 15485863 + det_id * 32452843) % 200000 AS DOUBLE) AS y1,
+    CASE WHEN (image_id + det_id) % 500 = 0 THEN 1e9 ELSE pow(2, 2 + (image_id + 3 * det_id) % 14) END AS w,
+    pow(2, 2 + (image_id * 5 + det_id) % 14) AS h FROM det)"""
+
+
+@query(
+    "j01_overlap_join_slides", "det",
+    f"WITH slide AS ({SLIDE}) SELECT a.slide_id, a.box_id, b.box_id AS other_id, round({IOA}, 9) AS share FROM slide a JOIN slide b"
+    f" ON a.slide_id = b.slide_id AND a.box_id <> b.box_id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2 WHERE {IOA} >= 0.5",
+)
+def j01_slides(t):
+    """Every box with the others of which it covers half or more, on rasters whose boxes differ in size by four orders."""
+    s = t.spark.sql(SLIDE.replace("FROM det)", "FROM {det})"), det=t.det)
+    p = J.overlap_join(s, s.drop("conf"), ("slide_id",), 0.5, S.ioa).filter("box_id <> b_box_id")
+    return p.select("slide_id", "box_id", F.col("b_box_id").alias("other_id"), F.round("sim", 9).alias("share"))
