@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import running
+from .ordered import scan, stencil
 
 BLOCK = 4096
 
@@ -19,13 +19,12 @@ def early_stop(runs: DataFrame, patience: int, keys: Sequence[str] = ("run_id",)
     Columns ``epoch, fitness`` in; ``best_epoch, stop, first_stop`` added. Rows without a fitness are skipped.
     """
     keys = list(keys)
-    blk = F.floor(F.col("epoch") / BLOCK)
-    r = runs.filter(F.col("fitness").isNotNull()).withColumn("_f", F.greatest("fitness", F.lit(0.0)))
-    r = running(r, keys, ["epoch"], blk, maxima={"_top": "_f"})
+    r = runs.filter(F.col("fitness").isNotNull())
     # the start counts as a best of 0 at epoch 0
-    r = r.withColumn("_e", F.when(F.col("fitness") >= F.col("_top"), F.col("epoch")).otherwise(F.lit(0)))
-    r = running(r, keys, ["epoch"], blk, maxima={"best_epoch": "_e"})
-    r = r.withColumn("stop", F.col("epoch") - F.col("best_epoch") >= patience).drop("_f", "_top", "_e")
+    best = F.when(F.col("fitness") >= 0, F.struct(F.col("fitness").alias("f"), F.col("epoch").alias("e")))
+    r = scan(r, keys, ["epoch"], F.floor(F.col("epoch") / BLOCK), maxima={"_best": best})
+    r = r.withColumn("best_epoch", F.coalesce("_best.e", F.lit(0))).drop("_best")
+    r = r.withColumn("stop", F.col("epoch") - F.col("best_epoch") >= patience)
     first = r.filter("stop").groupBy(*keys).agg(F.min("epoch").alias("first_stop"))
     return r.join(first, keys, "left")
 
@@ -33,22 +32,15 @@ def early_stop(runs: DataFrame, patience: int, keys: Sequence[str] = ("run_id",)
 def smooth(runs: DataFrame, sigma: float = 3, value: str = "fitness", keys: Sequence[str] = ("run_id",), order="epoch") -> DataFrame:
     """Adds ``smooth``: Gaussian smoothing along each run, mirrored at both ends.
 
-    Each output position asks for its 2r + 1 neighbours by index; mirrored indices make it one equi-join on (run, index),
-    so a long run is spread over many tasks. ``order`` numbers the rows of a run without gaps.
+    A long run is cut into blocks that carry a margin of their neighbours. ``order`` numbers the rows of a run without gaps.
     """
     keys = list(keys)
     r = int(4.0 * sigma + 0.5)
     w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
     w = [v / sum(w) for v in w]
     ends = runs.groupBy(*keys).agg(F.min(order).alias("_lo"), F.count("*").alias("_n"))
-    base = runs.join(ends, keys).withColumn("_i", F.col(order) - F.col("_lo"))
-    near = F.array(*[F.struct(F.lit(k - r).alias("k"), F.lit(v).alias("w")) for k, v in enumerate(w)])
-    ask = base.select(*keys, order, "_i", "_n", F.explode(near).alias("q"))
-    m = F.pmod(F.col("_i") + F.col("q.k"), F.col("_n") * 2)
-    ask = ask.select(*keys, order, F.col("q.w").alias("_w"), F.when(m < F.col("_n"), m).otherwise(F.col("_n") * 2 - 1 - m).alias("_i"))
-    got = ask.join(base.select(*keys, "_i", F.col(value).alias("_v")), [*keys, "_i"])
-    out = got.groupBy(*keys, order).agg(F.sum(F.col("_w") * F.col("_v")).alias("smooth"))
-    return runs.join(out, [*keys, order])
+    base = runs.join(ends, keys).withColumn("_i", (F.col(order) - F.col("_lo")).cast("bigint"))
+    return stencil(base, keys, "_i", "_n", BLOCK, value, w, "smooth").select(*runs.columns, "smooth")
 
 
 def best_runs(trials: DataFrame, n: int = 5, score="fitness", uid="run_id") -> DataFrame:

@@ -119,16 +119,22 @@ def speed_summary(timings: DataFrame, stages: Sequence[str] = ("preprocess", "in
 def sigma_clip(timings: DataFrame, value: str, group: Sequence[str], sigma: float = 2, rounds: int = 3) -> DataFrame:
     """Values that survive ``rounds`` rounds of dropping what lies more than ``sigma`` deviations from the group's mean.
 
-    Each round is a plain aggregate joined back, so a large group is combined in parts.
+    What is left of a group is an interval. Each round makes the next intervals, one row per group, from an aggregate over
+    the rows within the present ones; the rows themselves are cut once, by the last. Missing values do not survive.
     """
-    rest = timings
+    group = list(group)
+    v, least, most = F.col(value), F.lit(float("-inf")), F.lit(float("inf"))
+    inside = (v > F.col("_lo")) & (v < F.col("_hi"))
+    limits = None
     for _ in range(rounds):
-        m = rest.groupBy(*group).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-        rest = rest.join(m, list(group))
-        inside = (F.col(value) > F.col("_m") - sigma * F.col("_s")) & (F.col(value) < F.col("_m") + sigma * F.col("_s"))
+        rest = timings if limits is None else timings.join(limits, group).filter(inside)
+        held = [F.max(c).alias(c) for c in ("_lo", "_hi")] if limits is not None else [F.lit(x).alias(c) for c, x in (("_lo", least), ("_hi", most))]
+        m = rest.groupBy(*group).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), *held)
         # a group whose values are all equal has no spread and keeps them
-        rest = rest.filter(inside | (F.col("_s") == 0)).drop("_m", "_s")
-    return rest
+        low = F.when(F.col("_s") == 0, F.col("_lo")).otherwise(F.greatest("_lo", F.col("_m") - sigma * F.col("_s")))
+        high = F.when(F.col("_s") == 0, F.col("_hi")).otherwise(F.least("_hi", F.col("_m") + sigma * F.col("_s")))
+        limits = m.select(*group, low.alias("_lo"), high.alias("_hi"))
+    return timings if limits is None else timings.join(limits, group).filter(inside).drop("_lo", "_hi")
 
 
 def clipped_stats(timings: DataFrame, value: str, group: Sequence[str], sigma=2, rounds=3) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import regions as RG
 from ..functions.points import joint_angle
 from ..functions.rotated import envelope
 from . import joins as J
-from .ordered import previous, running, stream_sorted, trailing
+from .ordered import previous, running, scan, stream_sorted, trailing
 
 TRACK = ("video_id", "track_id")
 BLOCK = 4096
@@ -201,12 +201,10 @@ def count_reps(angles: DataFrame, up: float = 145, down: float = 90, keys=TRACK,
     Below ``down`` a row is a down event, above ``up`` an up event; a down event counts when the event before it was up.
     """
     event = F.when(F.col("angle") < down, "down").when(F.col("angle") > up, "up")
+    rep = lambda last, now: F.when((now["v"] == "down") & (last["v"] == "up"), 1).otherwise(0)
     e = angles.withColumn("_event", event)
-    blk = frame_block(order)
-    e = previous(e, keys, [order], blk, {"_last": "_event"}, when=F.col("_event").isNotNull())
-    rep = (F.col("_event") == "down") & (F.col("_last") == "up")
-    e = e.withColumn("_rep", F.when(rep, 1).otherwise(0)).withColumn("stage", F.coalesce("_event", "_last", F.lit("-")))
-    return running(e, keys, [order], blk, sums={"reps": "_rep"}).drop("_event", "_last", "_rep")
+    e = scan(e, keys, [order], frame_block(order), {"v": "_event"}, F.col("_event").isNotNull(), {"reps": rep}, before="_last")
+    return e.withColumn("stage", F.coalesce("_event", "_last.v", F.lit("-"))).drop("_event", "_last")
 
 
 def alarm(tracks: DataFrame, n: int = 5) -> DataFrame:
@@ -283,9 +281,8 @@ def embedding_ema(df: DataFrame, alpha: float = 0.9, keys=TRACK, order="frame_no
 
 def track_sessions(tracks: DataFrame, buffer: int = 30) -> DataFrame:
     """Lifetimes: a track ends after ``buffer`` frames without a row. Rows per life: first and last frame, length."""
-    t = previous(tracks.select(*TRACK, "frame_no"), TRACK, ["frame_no"], frame_block(), {"_p": "frame_no"})
-    new = F.when(F.col("_p").isNull() | (F.col("frame_no") - F.col("_p") > buffer), 1).otherwise(0)
-    t = running(t.withColumn("_new", new), TRACK, ["frame_no"], frame_block(), sums={"life": "_new"})
+    new = lambda last, now: F.when(last["f"].isNull() | (now["f"] - last["f"] > buffer), 1).otherwise(0)
+    t = scan(tracks.select(*TRACK, "frame_no"), TRACK, ["frame_no"], frame_block(), {"f": "frame_no"}, sums={"life": new})
     return t.groupBy(*TRACK, "life").agg(
         F.min("frame_no").alias("start_frame"), F.max("frame_no").alias("end_frame"), F.count("*").alias("length")
     )
