@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rotated as R
 from ..functions import similarity as S
 from ..operators import joins as J
+from ..operators import vectors as VX
 from .registry import query, r6, sql6
 
 BOX = ("x1", "y1", "x2", "y2")
@@ -159,6 +160,19 @@ def m09(t):
     return e.join(o, "vec_id").select("vec_id", "other", *r6(dist=S.cosine_distance("embedding", "e2")))
 
 
+@query(
+    "m09_frame_pairs", "",
+    "WITH e AS (SELECT vec_id, vec_id // 250 AS frame_no, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),"
+    " u AS (SELECT vec_id, frame_no, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda z: z * z)))) AS v FROM e)"
+    " SELECT a.frame_no, a.vec_id, b.vec_id AS other, round(greatest(0, 1 - list_inner_product(a.v, b.v)), 6) AS dist FROM u a JOIN u b"
+    " ON a.frame_no = b.frame_no AND a.vec_id < b.vec_id WHERE greatest(0, 1 - list_inner_product(a.v, b.v)) <= 0.8",
+)
+def m09_frames(t):
+    """All pairs of a frame of 250 vectors within a cosine distance of 0.8."""
+    e = t.table("embeddings").withColumn("frame_no", F.floor(F.col("vec_id") / 250))
+    return VX.similar_pairs(e, ["frame_no"], "vec_id", "embedding", 0.8).withColumn("dist", F.round("dist", 6))
+
+
 @query("j01_overlap_join", "det gt", f"SELECT a.image_id, a.cls, count(*) AS pairs, {sql6(mean_iou=f'avg({IOU})')} FROM {PAIR} AND a.cls = b.cls WHERE {IOU} >= 0.5 GROUP BY 1, 2")
 def j01(t):
     p = J.overlap_join(_boxes(t), _truth(t).drop("x"), ("image_id", "cls"), threshold=0.5)
