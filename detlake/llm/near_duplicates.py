@@ -16,8 +16,8 @@ from .words import NO_ID, Rolling, as_long, blobs, known_id, mix, packed, per_ba
 SHINGLE, PERCENT = 5, 75
 #: Sketch coordinates and bands. A pair at 0.75 misses all 32 bands of four coordinates with probability 6e-6, at 0.8 with 5e-8.
 COORDINATES, BANDS = 128, 32
-#: Bits of the longer sketch, a multiple of 64.
-BITS = 1024
+#: Bits of the longer sketch, a multiple of 64, and shingles of a block of a bucket, on the average.
+BITS, BLOCK = 1024, 1 << 18
 
 
 def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -97,14 +97,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
 
 def _signed(texts: DataFrame, shingle: int, bits: int) -> DataFrame:
-    """One bit of each of ``bits`` further sketch coordinates, 64 to a long."""
+    """One bit of each of ``bits`` further sketch coordinates, 64 to a long, and the shingle set itself, as bytes."""
 
     def run(b: pa.RecordBatch) -> dict:
-        rows = [mix(sketch(mix(shingle_set(unpack(t), shingle)), bits)) & np.uint64(1) for t in blobs(b, "data")]
+        sets = [shingle_set(unpack(t), shingle) for t in blobs(b, "data")]
+        rows = [mix(sketch(mix(items), bits)) & np.uint64(1) for items in sets]
         packed_rows = [as_long(np.packbits(r.astype(np.uint8)).view(np.uint64)) for r in rows]
-        return {"rep": b.column("d"), "bits": pa.array(packed_rows, pa.list_(pa.int64()))}
+        return {"rep": b.column("d"), "bits": pa.array(packed_rows, pa.list_(pa.int64())), "items": pa.array([x.tobytes() for x in sets], pa.binary())}
 
-    return per_batch(texts, run, "rep long, bits array<long>")
+    return per_batch(texts, run, "rep long, bits array<long>, items binary")
 
 
 def _close(bits: int, percent: int) -> int:
@@ -113,17 +114,99 @@ def _close(bits: int, percent: int) -> int:
     return int(bits * p - 4.5 * (bits * p * (1 - p)) ** 0.5)
 
 
+class _Block:
+    """Some members of one bucket."""
+
+    def __init__(self, members: pa.StructScalar):
+        rows = members.values
+        self.rep, self.n, self.component = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "n", "component"))
+        self.bits, self.keys = (rows.field(c).flatten().to_numpy().view(np.uint64).reshape(len(rows), -1) for c in ("bits", "keys"))
+        self._items = rows.field("items")
+
+    def items(self, i: int) -> np.ndarray:
+        return np.frombuffer(self._items[i].as_buffer(), np.uint64)
+
+
+def _block_links(key: int, one: _Block, two: _Block, same: bool, apart: int, percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components, as many as join the components that belong together.
+
+    Pairs as close as the bits of the threshold demand are compared on their full sets, in the first bucket they share. Once two
+    components are joined, their other pairs need no look.
+    """
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            parent[c] = c = parent.get(parent[c], parent[c])
+        return c
+
+    found = []
+    for a in range(0, len(one.rep), 32):
+        some = slice(a, a + 32)
+        differ = np.bitwise_count(one.bits[some, None] ^ two.bits[None]).sum(axis=2, dtype=np.int64)
+        x, y = one.n[some, None], two.n[None]
+        near = (differ <= apart) & (one.component[some, None] != two.component[None]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+        for p, q in zip(*np.nonzero(near), strict=True):
+            i, j = a + int(p), int(q)
+            if same and i >= j:
+                continue
+            c, d = root(int(one.component[i])), root(int(two.component[j]))
+            if c == d:
+                continue
+            shared = np.intersect1d(one.keys[i], two.keys[j], assume_unique=True)
+            if shared.view(np.int64).min() != key:
+                continue
+            mine, other = one.items(i), two.items(j)
+            equal = len(np.intersect1d(mine, other, assume_unique=True))
+            if equal and 100 * equal >= percent * (len(mine) + len(other) - equal):
+                parent[max(c, d)] = min(c, d)
+                found.append((int(one.rep[i]), int(two.rep[j])))
+    return found
+
+
+def _links_between(left: DataFrame, signs: DataFrame, bits: int, percent: int, size: int) -> DataFrame:
+    """``(u, v)``: links between the components of each bucket in ``left`` (key, rep, n, component).
+
+    The members of a bucket are dealt to blocks of about ``size`` shingles, and each two blocks of a bucket are compared where they
+    meet. A link leaves that place only if it joins two components there, so what is passed on grows with the members, however
+    many pairs of a bucket are nearly similar.
+    """
+    # a bucket's members know from one row per bucket into how many blocks they go
+    parts = left.groupBy("key").agg(F.ceil(F.sum(F.col("n") + 64) / size).alias("parts"))
+    wide = left.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).join(signs, "rep")
+    member = F.struct("rep", "n", "component", "bits", "keys", "items")
+    blocks = wide.groupBy("key", "part").agg(F.collect_list(member).alias("one"), F.max("parts").alias("parts"))
+    blocks = materialize(blocks, "blocks")
+    several = blocks.where("parts > 1").drop("parts")
+    other = several.select(F.col("key").alias("k"), F.col("part").alias("p"), F.col("one").alias("two"))
+    crossed = several.join(other, (F.col("key") == F.col("k")) & (F.col("part") < F.col("p"))).select("key", "one", "two")
+    apart = bits - _close(bits, percent)
+
+    def pairs(df: DataFrame) -> DataFrame:
+        def run(b: pa.RecordBatch) -> dict:
+            links = []
+            for i, key in enumerate(b.column("key").to_pylist()):
+                one = _Block(b.column("one")[i])
+                two = _Block(b.column("two")[i]) if "two" in b.schema.names else one
+                links += _block_links(key, one, two, one is two, apart, percent)
+            return {"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())}
+
+        return per_batch(df, run, "u long, v long")
+
+    return pairs(blocks.where(F.size("one") > 1).select("key", "one")).unionByName(pairs(crossed))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
-    coordinates: int = COORDINATES, bands: int = BANDS, bits: int = BITS,
+    coordinates: int = COORDINATES, bands: int = BANDS, bits: int = BITS, block: int = BLOCK,
 ) -> DataFrame:
     """``(id_col, n_shingles, component_id, kept)`` per row of ``docs``: documents linked, directly or through others, by
     100 * intersection >= percent * union of their shingle sets.
 
     Documents with equal sets are one class, found by an aggregate, and their smallest id stands for the class. Members of
     each band bucket are verified against the bucket's smallest member. If a bucket still holds several components after that, its
-    members get a longer sketch of single bits, compared inside the join: only pairs across components whose bits are as close as
-    the threshold demands leave the join, each from the first bucket the two share, and are verified on their full sets.
+    members meet in blocks of about ``block`` shingles: pairs across components whose bits of a longer sketch are as close as the
+    threshold demands are verified on their full sets there, each in the first bucket the two share.
 
     Null or empty texts and texts without words have an empty set and stay alone. Rows that share an id are one document,
     with the links of all their texts. A null id takes no part: component null, kept. Extra columns are ignored.
@@ -157,19 +240,7 @@ def near_duplicates(
         ids = materialize(left.select("rep").distinct(), "ids")
         signs = _signed(texts.join(ids.withColumnRenamed("rep", "d"), "d", "left_semi"), shingle, bits)
         signs = materialize(signs.join(classes.select("rep", "keys"), "rep"), "signs")
-        wide = materialize(left.join(signs, "rep"), "wide")
-        size = bits // 64
-
-        def side(name: str) -> DataFrame:
-            words = [F.col("bits")[i].alias(f"{name}{i}") for i in range(size)]
-            return wide.select("key", F.col("rep").alias(name), F.col("n").alias(f"n{name}"), F.col("component").alias(f"c{name}"), F.col("keys").alias(f"k{name}"), *words)
-
-        apart = sum((F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(size)), F.lit(0))
-        far = (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-        first = F.col("key") == F.array_min(F.array_intersect("ku", "kv"))
-        more = side("u").join(side("v"), "key").where(far & (apart <= bits - _close(bits, percent)) & first).select("u", "v")
-        more = materialize(more.join(pairs, ["u", "v"], "left_anti"), "more")
-        links = materialize(links.unionByName(_verified(more, texts, shingle, percent)), "verified")
+        links = materialize(links.unionByName(_links_between(left.drop("lead"), signs, bits, percent, block)), "verified")
         labels = materialize(components(links), "labels")
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "hi", "lo", F.coalesce("component", "rep").alias("component")

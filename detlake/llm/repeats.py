@@ -36,17 +36,17 @@ def anchor_runs(text: bytes, window: int, seed: int) -> tuple[Rolling, np.ndarra
 
 
 def _anchors(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """One row per run: seed and extension hash, document, and first window, window count and text hash in one long."""
+    """One row per run: seed and extension hash, document, text hash, and first window and window count in one long."""
 
     def find(b: pa.RecordBatch) -> dict:
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         for d, t, text in zip(blobs(b, "d"), blobs(b, "t"), blobs(b, "data"), strict=True):
             _, first, count, seeds, blocks = anchor_runs(text, window, seed)
-            for o, x in zip(out, (as_long(seeds), as_long(blocks), np.full(len(first), d), (t << 32) + first * 32 + count), strict=True):
+            for o, x in zip(out, (as_long(seeds), as_long(blocks), np.full(len(first), d), np.full(len(first), t), first * 32 + count), strict=True):
                 o.append(x.astype(np.int64, copy=False))
-        return dict(zip(("seed", "block", "d", "place"), (joined(o, np.int64) for o in out), strict=True))
+        return dict(zip(("seed", "block", "d", "t", "place"), (joined(o, np.int64) for o in out), strict=True))
 
-    return per_batch(docs, find, "seed long, block long, d long, place long")
+    return per_batch(docs, find, "seed long, block long, d long, t long, place long")
 
 
 def _windows(work: DataFrame, window: int, seed: int) -> DataFrame:
@@ -56,7 +56,7 @@ def _windows(work: DataFrame, window: int, seed: int) -> DataFrame:
         out: list[list[np.ndarray]] = [[], [], [], [], []]
         for d, t, text, fine in zip(blobs(b, "d"), blobs(b, "t"), blobs(b, "data"), blobs(b, "fine"), strict=True):
             rolling, first, count, seeds, _ = anchor_runs(unpack(text), window, seed)
-            wanted = np.isin(first, (np.array(fine, np.int64) & 0xFFFFFFFF) >> 5)
+            wanted = np.isin(first, np.array(fine, np.int64) >> 5)
             times = count[wanted]
             start = np.repeat(first[wanted] - np.cumsum(times) + times, times) + np.arange(times.sum())
             hashes = rolling.stretches(start, start + window)
@@ -73,7 +73,7 @@ def covered(text: bytes, places: list[int], starts: list[int], window: int) -> t
     own = Rolling(word_hashes(found)).windows(window)
     again = np.ones(len(own), bool)
     again[np.unique(own, return_index=True)[1]] = False
-    p = np.array(places, np.int64) & 0xFFFFFFFF
+    p = np.array(places, np.int64)
     start = np.concatenate([p >> 5, np.array(starts, np.int64), np.flatnonzero(again)])
     end = np.concatenate([(p >> 5) + (p & 31) - 1, np.array(starts, np.int64), np.flatnonzero(again)]) + window
     edge = np.zeros(len(found) + 1, np.int64)
@@ -95,14 +95,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     on the side of a join that can be split.
 
     Null and empty texts: no words, nothing removed. Null ids count as the largest id; rows that share an id do not
-    remove words from each other, a text's own repeats go. Other columns pass through, whatever their names.
+    remove words from each other, a text's own repeats go. Texts under one id are told apart by a 64-bit hash, and equal ones
+    share one list of places, each of them once. Other columns pass through, whatever their names.
     ``window`` must not be over 31 words beyond the seed.
     """
     if not 0 < seed <= window < seed + 31:
         raise ValueError("window must have at least the words of the seed and less than 31 more")
     base = docs.select(
         known_id(id_col).alias("d"),
-        F.hash(F.col(text_col)).cast("long").alias("t"),
+        F.xxhash64(F.col(text_col)).alias("t"),
         present(text_col).alias("data"),
         F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col], F.col(text_col).isNull().alias("none")).alias("rest"),
     )
@@ -115,14 +116,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = materialize(kept.groupBy("seed", "block").agg(F.min("d").alias("holder")), "blocks")
     several = materialize(blocks.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed", F.lit(True).alias("mixed")), "mixed")
     blocks = materialize(blocks.join(several, "seed", "left"), "holders")
-    t = F.shiftright("place", 32).alias("t")
     work = materialize(
         kept.join(blocks.hint("shuffle_hash"), ["seed", "block"])
         .where("holder < d OR mixed")
-        .groupBy("d", t)
+        .groupBy("d", "t")
         .agg(
-            F.collect_list(F.when(F.col("holder") < F.col("d"), F.col("place"))).alias("whole"),
-            F.collect_list(F.when(F.col("holder") == F.col("d"), F.col("place"))).alias("fine"),
+            F.collect_set(F.when(F.col("holder") < F.col("d"), F.col("place"))).alias("whole"),
+            F.collect_set(F.when(F.col("holder") == F.col("d"), F.col("place"))).alias("fine"),
         ),
         "work",
     )
