@@ -12,6 +12,7 @@ from ..sources import files as FI
 from ..sources import formats as FM
 from ..sources import labels as LB
 from ..sources import sinks as K
+from ..sources.commits import LabelSnapshot
 from .geometry import CORNERS
 from .registry import query, r6, rounded, sql6, sql9
 
@@ -384,6 +385,40 @@ def k07(t):
     return snap.groupBy("cls").agg(F.count("*").alias("n"))
 
 
+@query("k07_snapshot_files", "gt", "SELECT image_id, ann_id, cls, x1, x2 FROM gt WHERE ann_id % 5 <> 4 UNION ALL SELECT image_id, ann_id, cls + 10, x1, x2 FROM gt WHERE ann_id % 5 = 4 AND image_id % 3 <> 0")
+def k07_files(t):
+    """A snapshot of one file per truth row, after an update in which one kind of file changed and some of them went."""
+    rows = t.gt.select("image_id", "ann_id", "cls", "x1", "x2", F.concat_ws("/", F.col("image_id").cast("string"), F.col("ann_id").cast("string")).alias("path"))
+    files = rows.select("path", F.lit(1).alias("length"), "ann_id", "image_id")
+    snap = LabelSnapshot(t.spark, scratch_path(t.spark, "labels"))
+    snap.update(files, lambda some: rows.join(some.select("path"), "path", "left_semi"))
+    later = files.withColumn("length", F.when(F.col("ann_id") % 5 == 4, 2).otherwise(1)).filter("ann_id % 5 <> 4 OR image_id % 3 <> 0")
+    snap.update(later, lambda some: rows.join(some.select("path"), "path", "left_semi").withColumn("cls", F.col("cls") + 10))
+    return snap.read().select("image_id", "ann_id", "cls", "x1", "x2")
+
+
+@query("k01_label_files_again", "det images", "SELECT image_id, count(*) AS n, CASE WHEN image_id % 2 = 0 THEN max(conf) ELSE max(conf) / 2 END AS conf FROM det GROUP BY 1")
+def k01_again(t):
+    """Label files written twice, the second time only half of the images, with their confidences."""
+    path = scratch_path(t.spark, "again")
+    d = _det(t)
+    K.write_labels(K.label_lines(d.withColumn("conf", F.col("conf") / 2), conf=True), path, shards=16)
+    for _ in range(2):
+        K.write_labels(K.label_lines(d.filter("image_id % 2 = 0"), conf=True), path, shards=16)
+    back = t.spark.read.text(path).select(F.split("value", "\t").alias("v")).select(F.col("v")[0].cast("bigint").alias("image_id"), F.substring_index(F.col("v")[1], " ", -1).cast("double").alias("c"))
+    return back.groupBy("image_id").agg(F.count("*").alias("n"), F.max("c").alias("conf"))
+
+
+@query("k10_append_metrics", "runs", "SELECT run_id, epoch, format('{:g}', CASE WHEN epoch % 3 = 0 THEN fitness * 2 ELSE fitness END) AS fitness FROM runs")
+def k10_append(t):
+    """A log of which some rows are written again."""
+    path = scratch_path(t.spark, "log")
+    K.append_metrics(t.runs, path, ["fitness"], shards=16)
+    for _ in range(2):
+        K.append_metrics(t.runs.filter("epoch % 3 = 0").withColumn("fitness", F.col("fitness") * 2), path, ["fitness"], shards=16)
+    return t.spark.read.schema("run_id bigint, epoch int, fitness string").option("header", "true").csv(path).select("run_id", "epoch", "fitness")
+
+
 @query("k10_metric_rows", "runs", "SELECT run_id, epoch, format('{:g}', fitness) AS fitness FROM runs")
 def k10(t):
     rows = t.runs

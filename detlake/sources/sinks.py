@@ -11,6 +11,7 @@ from ..functions import boxes as B
 from ..functions import rotated as R
 from ..functions import text as X
 from ..functions.numbers import py_round
+from .commits import read_if_there, replace_keys
 from .files import dataset_hash
 
 BOX = ("x1", "y1", "x2", "y2")
@@ -56,13 +57,30 @@ def class_lines(image_probs: DataFrame, names: Sequence[str], k: int = 5) -> Dat
 
 
 def write_labels(lines: DataFrame, path: str, shards: int | None = None) -> None:
-    """One folder of text per image. With ``shards`` images share folders, which suits millions of small images."""
+    """One folder of text per image. With ``shards`` images share folders, which suits millions of small images.
+
+    An image that is written again has its lines replaced, so the same job run twice leaves the same files.
+    """
     if shards is None:
-        lines.repartition("image_id").write.mode("append").partitionBy("image_id").text(path)
-    else:
-        sharded = lines.withColumn("shard", F.pmod(F.xxhash64("image_id"), F.lit(shards)))
-        out = sharded.select("shard", F.concat_ws("\t", F.col("image_id").cast("string"), "line").alias("value"))
-        out.repartition("shard").write.mode("append").partitionBy("shard").text(path)
+        replace_keys(lines.select("image_id", F.col("line").alias("value")), path, "image_id", ["image_id"], "text")
+        return
+    sharded = lines.withColumn("shard", F.pmod(F.xxhash64("image_id"), F.lit(shards)))
+    out = sharded.select(F.concat_ws("\t", F.col("image_id").cast("string"), "line").alias("value"), "shard")
+    # the first field of a line is its image
+    replace_lines(out, path, "shard")
+
+
+def replace_lines(rows: DataFrame, path: str, folder: str) -> None:
+    """``value`` lines in folders; earlier lines with the same first field are replaced."""
+    spark = rows.sparkSession
+    key = F.substring_index("value", "\t", 1)
+    there = read_if_there(spark, path, "text", rows.schema)
+    if there is not None:
+        touched = rows.select(F.col(folder).alias("_f")).distinct()
+        new = rows.select(key.alias("_k")).distinct()
+        other = there.join(touched, F.col(folder) == F.col("_f"), "left_semi").join(new, key == F.col("_k"), "left_anti")
+        rows = rows.unionByName(other)
+    rows.hint("rebalance", folder).write.format("text").option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(folder).save(path)
 
 
 def round3(c: Column) -> Column:
@@ -229,8 +247,14 @@ def metric_rows(runs: DataFrame, columns: Sequence[str]) -> DataFrame:
     return runs.select(*[X.format_g(c).alias(c) for c in columns])
 
 
-def append_metrics(runs: DataFrame, path: str, columns: Sequence[str]) -> None:
-    metric_rows(runs, columns).write.mode("append").option("header", "true").csv(path)
+def append_metrics(runs: DataFrame, path: str, columns: Sequence[str], keys: Sequence[str] = ("run_id", "epoch"), shards: int | None = None) -> None:
+    """Add rows to a CSV log with one folder per ``keys[0]``, or ``shards`` folders shared by all. Rows whose ``keys`` are there
+    already are replaced, so a job may run again."""
+    numbers = [X.format_g(c).alias(c) for c in columns if c not in keys]
+    rows, folder = runs.select(*keys, *numbers), keys[0]
+    if shards is not None:
+        rows, folder = rows.withColumn("shard", F.pmod(F.xxhash64(keys[0]), F.lit(shards))), "shard"
+    replace_keys(rows, path, folder, keys, "csv", header="true")
 
 
 def to_json_lines(df: DataFrame) -> DataFrame:
