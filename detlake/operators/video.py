@@ -160,10 +160,17 @@ def heatmap(tracks: DataFrame, weight: float = 2.0, width: int | None = None, he
     return cells.select(*keys, F.explode(F.sequence(F.col("x"), F.col("_to") - 1)).alias("x"), "y", "heat")
 
 
-def normalized_heat(heat: DataFrame, keys=("video_id",)) -> DataFrame:
-    """Heat scaled to 0..255 between zero (untouched pixels) and the highest value."""
-    top = heat.groupBy(*keys).agg(F.max("heat").alias("_m"))
-    return heat.join(top, list(keys)).withColumn("heat", F.col("heat") / F.col("_m") * 255).drop("_m")
+def normalized_heat(heat: DataFrame, keys=("video_id",), pixels: int | None = None) -> DataFrame:
+    """Heat scaled to 0..255 between the lowest and the highest value of the picture.
+
+    Pixels without a row have heat 0. The lowest value is above that only if all ``pixels`` of a picture have rows; a picture
+    of one heat throughout becomes 0.
+    """
+    ends = heat.groupBy(*keys).agg(F.max("heat").alias("_hi"), F.min("heat").alias("_lo"), F.count("*").alias("_n"))
+    full = F.col("_n") >= pixels if pixels is not None else F.lit(False)
+    ends = ends.withColumn("_lo", F.when(full, F.col("_lo")).otherwise(F.lit(0.0))).drop("_n")
+    scaled = F.coalesce(F.try_divide((F.col("heat") - F.col("_lo")) * 255, F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    return heat.join(ends, list(keys)).withColumn("heat", scaled).drop("_hi", "_lo")
 
 
 def frame_counts(tracks: DataFrame, by_class: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from .registry import ORACLES, QUERIES
 
 MODULES = (
     "geometry", "pairs", "evaluation", "suppression", "ingest", "quality", "statistics", "analytics", "masks", "labels",
-    "tracking", "logs",
+    "tracking", "logs", "files",
 )
 
 

@@ -52,7 +52,7 @@ def class_lines(image_probs: DataFrame, names: Sequence[str], k: int = 5) -> Dat
     order = F.slice(class_order(F.col("probs")), 1, k)
     table = F.array(*[F.lit(n) for n in names])
     d = image_probs.select("image_id", "probs", F.posexplode(order).alias("rank", "c"))
-    line = F.format_string("%.2f %s", F.element_at("probs", F.col("c") + 1), F.element_at(table, F.col("c") + 1))
+    line = F.format_string("%.2f %s", py_round(F.element_at("probs", F.col("c") + 1), 2), F.element_at(table, F.col("c") + 1))
     return d.select("image_id", "rank", line.alias("line"))
 
 
