@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -33,12 +36,13 @@ SIGNS = frozenset(
 TITLED = frozenset("p h1 h2 h3 h4 h5 h6 dt span".split())
 LISTS = frozenset("ul ol dl".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    rf"|<({'|'.join(RAW)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+# A comment, a declaration, or a tag with its attributes. Nothing is tried twice: a tag whose end is not found matches without its ">".
+_TOKEN = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>?)", re.S)
+_LOOSE = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>?)", re.S)
+_CLOSERS = {"<!--": "-->", "<![CDATA[": "]]>", "<!": ">", "<?": ">"}
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+_ARTICLES = re.compile(r"<(?:article|main)\b", re.I)
+_FORM_ENDS = re.compile(r"</form\b", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PIECE = re.compile(r"[a-zA-Z]+")
 
@@ -76,6 +80,56 @@ def _ends(tag: str, names: list[str]) -> int:
     return n
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """``(start, end, closing, tag, attributes)`` of every tag; comments, declarations and raw elements come without a tag.
+
+    Each character is looked at a bounded number of times. A tag that never ends because a quote stays open ends at its first ">", and from
+    there on quotes are not heeded; without any ">" it is text. Raw elements without an end reach to the end of the page.
+    """
+    at, pattern = 0, _TOKEN
+    while m := pattern.search(page, at):
+        start, tag = m.start(), m[2]
+        if tag is None:
+            closer = _CLOSERS[m[0]]
+            e = page.find(closer, m.end())
+            at = len(page) if e < 0 else e + len(closer)
+            yield start, at, False, "", ""
+            continue
+        attributes, at = m[3], m.end()
+        if not m[4]:
+            e, pattern = page.find(">", m.end(2)), _LOOSE
+            if e < 0:
+                return
+            attributes, at = page[m.end(2) : e], e + 1
+        tag = tag.lower()
+        if tag in _RAW_ENDS and not m[1]:
+            end = _RAW_ENDS[tag].search(page, at)
+            at = end.end() if end else len(page)
+            tag = ""
+        yield start, at, bool(m[1]), tag, attributes
+
+
+def _holds_article(page: str) -> Callable[[int], bool]:
+    """Whether a form that begins at a place has an article or main element before its end."""
+    articles, ends = ([m.start() for m in p.finditer(page)] for p in (_ARTICLES, _FORM_ENDS))
+
+    def holds(at: int) -> bool:
+        first, end = bisect_right(articles, at), bisect_right(ends, at)
+        return first < len(articles) and (end == len(ends) or articles[first] < ends[end])
+
+    return holds
+
+
+#: Characters of a path; what lies above in longer ones is replaced by its hash, so that deep pages stay small.
+PATH = 4000
+
+
+def _below(path: str, role: str) -> str:
+    if len(path) + len(role) >= PATH:
+        path = "/" + xxhash.xxh3_64_hexdigest(path)
+    return f"{path}/{role}"
+
+
 def blocks(page: str) -> tuple[list[tuple[int, str]], list[tuple[str, int, bool]]]:
     """Text blocks in page order, each with its container, and the containers: path, parent and whether it is set aside.
 
@@ -87,6 +141,17 @@ def blocks(page: str) -> tuple[list[tuple[int, str]], list[tuple[str, int, bool]
     out: list[tuple[int, str]] = []
     held: list[str] = []
 
+    opened: Counter[str] = Counter(names)
+
+    def push(container: int, tag: str) -> None:
+        stack.append(container)
+        names.append(tag)
+        opened[tag] += 1
+
+    def drop(n: int) -> None:
+        opened.subtract(names[-n:])
+        del stack[-n:], names[-n:]
+
     def flush() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
@@ -94,48 +159,49 @@ def blocks(page: str) -> tuple[list[tuple[int, str]], list[tuple[str, int, bool]
             if text and not tree[stack[-1]][2]:
                 out.append((stack[-1], text))
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
+    at, holds = 0, None
+    for start, end, closing, tag, attributes in tags(page):
+        if start > at:
+            held.append(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[3].lower()
+        if tag == "form":
+            holds = holds or _holds_article(page)
+            if not closing and holds(start) or closing and not opened[tag]:
+                flush()
+                continue
         if tag not in BLOCKS and tag not in ASIDE:
             if tag == "br":
                 held.append(" ")
-            elif not m[2] and m[4] and not m[4].endswith("/"):  # an inline element that is set aside becomes a container
-                role, off = _signature(tag, m[4])
+            elif not closing and attributes and not attributes.endswith("/"):  # an inline element that is set aside becomes a container
+                role, off = _signature(tag, attributes)
                 if off and tag not in ("img", "input", "link", "meta", "a", "wbr", "area", "col", "embed", "source", "track", "base"):
                     flush()
-                    tree.append((f"{tree[stack[-1]][0]}/{role}", stack[-1], True))
-                    stack.append(len(tree) - 1)
-                    names.append(tag)
-            elif m[2] and tag in names and tree[stack[-1]][2] and names[-1] == tag:
+                    tree.append((_below(tree[stack[-1]][0], role), stack[-1], True))
+                    push(len(tree) - 1, tag)
+            elif closing and names[-1] == tag and tree[stack[-1]][2]:
                 flush()
-                stack.pop(), names.pop()
+                drop(1)
             continue
         flush()
-        if m[2]:
-            if tag in names:
-                while names.pop() != tag:
-                    stack.pop()
-                stack.pop()
+        if closing:
+            if opened[tag]:
+                while names[-1] != tag:
+                    drop(1)
+                drop(1)
             elif tag in BLOCKS and (n := _ends("", names)):
-                del stack[-n:], names[-n:]
+                drop(n)
             continue
         if n := _ends(tag, names):
-            del stack[-n:], names[-n:]
-        if tag in LISTS and not _signature(tag, m[4])[1]:  # open, so that its items end with it
-            stack.append(stack[-1])
-            names.append(tag)
-        elif not (m[4] or "").endswith("/") or tag not in ("hr",):
-            role, off = _signature(tag, m[4])
+            drop(n)
+        if tag in LISTS and not _signature(tag, attributes)[1]:  # open, so that its items end with it
+            push(stack[-1], tag)
+        elif not attributes.endswith("/") or tag not in ("hr",):
+            role, off = _signature(tag, attributes)
             if tag in CONTAINERS or off:
-                tree.append((f"{tree[stack[-1]][0]}/{role}", stack[-1], off or tree[stack[-1]][2]))
-                stack.append(len(tree) - 1)
-                names.append(tag)
+                tree.append((_below(tree[stack[-1]][0], role), stack[-1], off or tree[stack[-1]][2]))
+                push(len(tree) - 1, tag)
     if at < len(page):
         held.append(page[at:])
     flush()
@@ -169,8 +235,8 @@ def occurrences(page: str) -> dict[str, tuple[int, int]]:
 def _counted(pages: DataFrame) -> DataFrame:
     """Per host and role: a fingerprint of the role's occurrence vector over the host's pages, page and text counts.
 
-    The fingerprint is the exclusive or of hashes of (page, number of occurrences), so equal vectors have equal fingerprints, and
-    it can be put together batch by batch: no host's pages ever meet in one place.
+    The fingerprint is a sum of hashes of (page, number of occurrences), so equal vectors have equal fingerprints, and it can be
+    put together batch by batch: no host's pages ever meet in one place. Rows that repeat a page count as pages of their own.
     """
 
     def count(b: pa.RecordBatch) -> dict:
@@ -178,23 +244,17 @@ def _counted(pages: DataFrame) -> DataFrame:
         for url, data in zip(b.column("url").to_pylist(), b.column("data").to_pylist(), strict=True):
             host, page = host_of(url), xxhash.xxh3_64_intdigest(data + b"\0" + (url or "").encode())
             for role, (times, chars) in occurrences(data.decode("utf-8", "replace")).items():
-                s = seen.setdefault((host, role), [0, 0, 0, 0])
-                s[0] ^= xxhash.xxh3_64_intdigest(page.to_bytes(8, "big") + times.to_bytes(4, "big"))
-                s[1] += 1
-                s[2] += times
-                s[3] += chars
-        rows = list(seen.values())
-        return {
-            "host": [k[0] for k in seen], "role": [k[1] for k in seen],
-            "vector": pa.array([r[0] - (1 << 64) if r[0] >> 63 else r[0] for r in rows], pa.int64()),
-            "pages": pa.array([r[1] for r in rows], pa.int64()), "times": pa.array([r[2] for r in rows], pa.int64()),
-            "chars": pa.array([r[3] for r in rows], pa.int64()),
-        }
-
-    out = per_batch(pages, count, "host string, role string, vector long, pages long, times long, chars long")
-    return out.groupBy("host", "role").agg(
-        F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.sum("chars").alias("chars")
-    )
+                s = seen.setdefault((host, role), [0, 0, 0, 0, 0])
+                h = xxhash.xxh3_64_intdigest(page.to_bytes(8, "big") + times.to_bytes(4, "big"))
+                for i, x in enumerate((h >> 32, h & 0xFFFFFFFF, 1, times, chars)):  # halves, so that sums stay whole numbers
+                    s[i] += x
+        names = ("high", "low", "pages", "times", "chars")
+        sums = {n: pa.array([r[i] for r in seen.values()], pa.int64()) for i, n in enumerate(names)}
+        return {"host": [k[0] for k in seen], "role": [k[1] for k in seen], **sums}
+
+    out = per_batch(pages, count, "host string, role string, high long, low long, pages long, times long, chars long")
+    out = out.groupBy("host", "role").agg(*[F.sum(c).alias(c) for c in ("high", "low", "pages", "times", "chars")])
+    return out.withColumn("vector", F.xxhash64("high", "low")).drop("high", "low")
 
 
 #: Share of a page's text that the article's slot holds at least, on average over the host.
