@@ -161,9 +161,11 @@ def t06(t):
     "WITH b AS (SELECT video_id, CAST(floor(epoch(ts) / 300) * 300 AS BIGINT) - k * 300 AS start FROM tracks, (VALUES (0), (1)) v(k)) SELECT video_id, start, count(*) AS n FROM b GROUP BY 1, 2",
 )
 def t06s(t):
-    rows = t.tracks.withColumn("ts", F.col("ts").cast("timestamp"))
-    w = SF.windowed(rows, "10 minutes", "5 minutes", watermark=None)
-    return w.select("video_id", F.unix_seconds("start").alias("start"), "n")
+    """Sliding windows on a stream; each comes out once, when the watermark has passed its end."""
+    s = _scattered(t, t.tracks.select("video_id", "frame_no", "track_id", "ts"), watermark=False)
+    lo, hi = t.tracks.agg(F.min(F.col("ts").cast("timestamp")), F.max(F.col("ts").cast("timestamp"))).first()
+    w = SF.windowed(s, "10 minutes", "5 minutes", watermark=f"{int((hi - lo).total_seconds() / 2) + 1} seconds")
+    return _drain(t, w).select("video_id", F.unix_seconds("start").alias("start"), "n")
 
 
 @query("t07_crossing_stream", "tracks", f"WITH {CROSS} SELECT region_id::BIGINT AS region_id, video_id, track_id, frame_no, cls, CASE WHEN goes THEN 'IN' ELSE 'OUT' END AS direction FROM fi")
