@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -86,8 +88,8 @@ def top_k(
     shards' results are merged by a window that keeps k rows per query before the shuffle.
 
     Vectors that are null or hold null or non-finite components, and rows with a null id, take no part. Shorter vectors count as padded with
-    zeros. Rows that share an id are all left out for their query, and may appear several times for others. Scores are exact
-    while scaled components stay within ``EXACT``; beyond it Python's integers are used and scores are held to 64 bits.
+    zeros. Rows that share an id are all left out for their query, and may appear several times for others. Scores are exact: where the sum
+    of products might pass what doubles hold, Python's integers are used and scores are held to 64 bits.
     """
     base = vectors.where(usable(vector_col) & F.col(id_col).isNotNull())
     base = materialize(
@@ -111,7 +113,8 @@ def top_k(
         length = x.value_lengths().to_numpy()
         out = np.zeros((len(ids), width))
         out[np.arange(width) < length[:, None]] = x.flatten().to_numpy()
-        if out.size and np.abs(out).max() > EXACT:
+        # two components of this size, times the width, are still told apart by doubles
+        if out.size and np.abs(out).max() > min(EXACT, isqrt((1 << 53) // max(width, 1))):
             out = np.array([[int(v) for v in r] for r in out], object)
         return ids, out
 
