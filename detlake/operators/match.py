@@ -15,32 +15,43 @@ from .joins import BOX, CELL, candidate_pairs, overlap_join
 THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 
 
+def _best(rows: DataFrame, by: Sequence[str], order: str, value: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Per ``by`` the greatest ``order`` and the lowest ``value`` that has it, with the greatest of each column of ``carry``.
+
+    Two aggregates over plain numbers: the first leaves one value per order, so the second has no ties. Both run as hash
+    aggregates, which structs as aggregate buffers would not.
+    """
+    kept = [F.max(c).alias(c) for c in carry]
+    lowest = rows.groupBy(*by, order).agg(F.min(value).alias(value), *kept)
+    return lowest.groupBy(*by).agg(F.max_by(value, order).alias(value), F.max(order).alias(order), *kept)
+
+
+def _taken(pairs: DataFrame, key: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Each detection with its most similar truth. A detection meets few distinct truths: its pairs are brought together as they are."""
+    return _best(pairs.repartition(key, "det_id"), (key, "det_id"), "sim", "ann_id", carry)
+
+
 def _winners(pairs: DataFrame, thresholds: Sequence[float], key: str, carry: Sequence[str] = ()) -> DataFrame:
     """Per truth and threshold the detection that gets it: ``key, ann_id, i, det_id, conf`` (i numbers the thresholds).
 
     A detection takes its most similar truth (ties: lowest ``ann_id``). At each threshold a truth then goes to its
     best-scored taker (ties: lowest ``det_id``); a detection that loses is not matched again. The most similar truth does
-    not depend on the threshold, so one pass serves all of them. Both steps are aggregates, which combine before the
-    shuffle, and so a truth wanted by very many detections does no harm.
+    not depend on the threshold, so one pass serves all of them. The takers of a truth are combined before the
+    shuffle, and so a truth wanted by very many detections does no harm. Without a confidence a detection comes last.
     """
-    best = pairs.groupBy(key, "det_id").agg(
-        F.max(F.struct(F.col("sim"), (-F.col("ann_id")).alias("neg"))).alias("m"), F.max("conf").alias("conf"),
-        *[F.max(c).alias(c) for c in carry],
-    )
-    taken = best.select(key, "det_id", "conf", *carry, F.col("m.sim").alias("sim"), (-F.col("m.neg")).alias("ann_id"))
-    rank = F.struct((-F.col("conf")).alias("c"), F.col("det_id"))
-    won = taken.groupBy(key, "ann_id").agg(
-        *[F.min(F.when(F.col("sim") >= t, rank)).alias(f"w{i}") for i, t in enumerate(thresholds)],
-        *[F.max(c).alias(c) for c in carry],
-    )
-    each = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.col(f"w{i}.det_id").alias("det_id"), (-F.col(f"w{i}.c")).alias("conf"))
-            for i in range(len(thresholds))
-        ]
+    k = range(len(thresholds))
+    carry = list(carry)
+    taken = _taken(pairs, key, ("conf", *carry)).withColumn("_c", F.coalesce("conf", F.lit(float("-inf"))))
+    kept = [F.max(c).alias(c) for c in carry]
+    each = taken.groupBy(key, "ann_id", "_c").agg(*[F.min(F.when(F.col("sim") >= t, F.col("det_id"))).alias(f"d{i}") for i, t in enumerate(thresholds)], *kept)
+    reached = [F.when(F.col(f"d{i}").isNotNull(), F.col("_c")) for i in k]
+    won = each.groupBy(key, "ann_id").agg(
+        *[F.max_by(f"d{i}", reached[i]).alias(f"d{i}") for i in k], *[F.max(reached[i]).alias(f"c{i}") for i in k], *kept
     )
-    rows = won.select(key, "ann_id", *carry, F.explode(F.filter(each, lambda s: s["det_id"].isNotNull())).alias("h"))
-    return rows.select(key, "ann_id", *carry, "h.*")
+    wins = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"d{i}").alias("det_id"), F.col(f"c{i}").alias("conf")) for i in k])
+    rows = won.select(key, "ann_id", *carry, F.explode(F.filter(wins, lambda w: w["det_id"].isNotNull())).alias("h"))
+    known = F.when(F.col("h.conf") > float("-inf"), F.col("h.conf"))
+    return rows.select(key, "ann_id", *carry, "h.i", "h.det_id", known.alias("conf"))
 
 
 def match_pairs(det: DataFrame, pairs: DataFrame, thresholds: Sequence[float] = THRESHOLDS, key="image_id") -> DataFrame:
@@ -180,11 +191,7 @@ def match_for_confusion(det: DataFrame, ann: DataFrame, conf=0.25, iou=0.45, key
         truth = _distinct_truth(ann, (key, *BOX))
         pairs = overlap_join(sure.select(key, "det_id", *BOX), truth, (key,), iou, strict=True, cell=cell, like=(det, ann))
         pairs = pairs.select(key, "det_id", F.col("b_ann_id").alias("ann_id"), "sim")
-    best = pairs.groupBy(key, "det_id").agg(F.max(F.struct("sim", (-F.col("ann_id")).alias("neg"))).alias("m"))
-    won = best.groupBy(key, (-F.col("m.neg")).alias("ann_id")).agg(
-        F.max(F.struct(F.col("m.sim").alias("s"), (-F.col("det_id")).alias("neg"))).alias("w")
-    )
-    won = won.select(key, "ann_id", (-F.col("w.neg")).alias("det_id"))
+    won = _best(_taken(pairs, key), (key, "ann_id"), "sim", "det_id").select(key, "ann_id", "det_id")
     seen = ann.select(key, "ann_id", F.col("cls").alias("true_cls")).join(won, [key, "ann_id"], "left")
     both = sure.select(key, "det_id", F.col("cls").alias("pred_cls")).join(seen, [key, "det_id"], "full")
     return both.select(key, "pred_cls", "true_cls")
