@@ -6,7 +6,7 @@ import html
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -216,11 +216,19 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def occurrences(page: str) -> dict[str, tuple[int, int]]:
-    """Per role of a container outside what is set aside: how often it occurs, and the characters of text anywhere inside."""
+def _token(role: str, text: str) -> int:
+    """A text block in its container, as one signed number."""
+    return int.from_bytes(xxhash.xxh3_64_digest(f"{role}\0{text}".encode("utf-8", "replace")), "big", signed=True)
+
+
+def occurrences(page: str) -> tuple[dict[str, tuple[int, int]], dict[tuple[str, int], int]]:
+    """What is outside of what is set aside: per role of a container how often it occurs and the characters of text anywhere
+    inside, and per (role, token of a text block in such a container) how often that occurs."""
     found, tree = blocks(page)
     chars = [0] * len(tree)
+    texts: Counter[tuple[str, int]] = Counter()
     for c, text in found:
+        texts[tree[c][0], _token(tree[c][0], text)] += 1
         while c >= 0:
             chars[c] += len(text)
             c = tree[c][1]
@@ -229,62 +237,85 @@ def occurrences(page: str) -> dict[str, tuple[int, int]]:
         if not off:
             times, held = out.get(role, (0, 0))
             out[role] = (times + 1, held + n)
-    return out
+    return out, texts
 
 
 def _counted(pages: DataFrame) -> DataFrame:
-    """Per host and role: a fingerprint of the role's occurrence vector over the host's pages, page and text counts.
+    """Per host, role and block (null: the container itself): a fingerprint of the occurrence vector over the host's pages,
+    page and text counts, and a map of 64 bits in which each page content sets one.
 
     The fingerprint is a sum of hashes of (page, number of occurrences), so equal vectors have equal fingerprints, and it can be
     put together batch by batch: no host's pages ever meet in one place. Rows that repeat a page count as pages of their own.
+    A block with the vector of its container has it in every batch too, so the others are left out of a batch's counts at once.
     """
 
     def count(b: pa.RecordBatch) -> dict:
-        seen: dict[tuple[str, str], list[int]] = {}
+        seen: dict[tuple[str, str, int | None], list[int]] = {}
         for url, data in zip(b.column("url").to_pylist(), b.column("data").to_pylist(), strict=True):
             host, page = host_of(url), xxhash.xxh3_64_intdigest(data + b"\0" + (url or "").encode())
-            for role, (times, chars) in occurrences(data.decode("utf-8", "replace")).items():
-                s = seen.setdefault((host, role), [0, 0, 0, 0, 0])
+            bit = 1 << (xxhash.xxh3_64_intdigest(data) & 63)
+            containers, texts = occurrences(data.decode("utf-8", "replace"))
+            rows = [(role, None, times, chars) for role, (times, chars) in containers.items()]
+            rows += [(role, token, times, 0) for (role, token), times in texts.items()]
+            for role, token, times, chars in rows:
+                s = seen.setdefault((host, role, token), [0, 0, 0, 0, 0, 0])
                 h = xxhash.xxh3_64_intdigest(page.to_bytes(8, "big") + times.to_bytes(4, "big"))
                 for i, x in enumerate((h >> 32, h & 0xFFFFFFFF, 1, times, chars)):  # halves, so that sums stay whole numbers
                     s[i] += x
+                s[5] |= bit
+        keys = [k for k, s in seen.items() if k[2] is None or s[:4] == seen[(k[0], k[1], None)][:4]]
         names = ("high", "low", "pages", "times", "chars")
-        sums = {n: pa.array([r[i] for r in seen.values()], pa.int64()) for i, n in enumerate(names)}
-        return {"host": [k[0] for k in seen], "role": [k[1] for k in seen], **sums}
+        sums = {n: pa.array([seen[k][i] for k in keys], pa.int64()) for i, n in enumerate(names)}
+        bits = pa.array([seen[k][5] for k in keys], pa.uint64()).view(pa.int64())
+        return {"host": [k[0] for k in keys], "role": [k[1] for k in keys], "block": pa.array([k[2] for k in keys], pa.int64()), **sums, "bits": bits}
 
-    out = per_batch(pages, count, "host string, role string, high long, low long, pages long, times long, chars long")
-    out = out.groupBy("host", "role").agg(*[F.sum(c).alias(c) for c in ("high", "low", "pages", "times", "chars")])
+    out = per_batch(pages, count, "host string, role string, block long, high long, low long, pages long, times long, chars long, bits long")
+    sums = [F.sum(c).alias(c) for c in ("high", "low", "pages", "times", "chars")]
+    out = out.groupBy("host", "role", "block").agg(*sums, F.bit_or("bits").alias("bits"))
     return out.withColumn("vector", F.xxhash64("high", "low")).drop("high", "low")
 
 
-#: Share of a page's text that the article's slot holds at least, on average over the host.
-SHARE = 0.5
+#: Share of the text that the article's slot holds at least, on average over the host: an article or main element, another container.
+SHARE, WHOLE = 0.5, 0.9
+#: Different page contents (as bits of a 64-bit map) and share of the host's pages that a class of the template stands behind.
+PAGES, SUPPORT = 8, 0.05
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``(host, slot, classes)``: the role whose slot holds the article, and how many equivalence classes the host has.
+    """``(host, slot, template, classes)``: the role whose slot holds the article, the blocks of the template, and how many
+    equivalence classes the host has.
+
+    Roles and blocks of a host with one occurrence vector form a class. The page itself (role '') spans the outermost class: what
+    occurs exactly once on every page. A block is valid in a class, and nests in it, if it has the vector of its own container:
+    it is there wherever that is, as often. Such blocks are the fixed text of the template, in the outermost class and in those of
+    repeated or optional parts, if ``PAGES`` different pages and ``SUPPORT`` of the host's pages show it; so a host's template
+    has at most 1 / ``SUPPORT`` times the blocks of a page. Copies of one page prove nothing.
 
-    Roles of a host with one occurrence vector form a class. The page itself (role '') spans the outermost class: what
-    occurs exactly once on every page. A class is valid if its roles nest, that is if each is a beginning of the next or they
-    lie beside each other; by construction of roles from their ancestors all do. Inside the outermost class, an article or main element that
-    holds at least ``SHARE`` of the text is the article's slot, else the innermost container that does. Classes that occur
+    Inside the outermost class, an article or main element that holds at least ``SHARE`` of the text is the article's slot, else
+    the innermost container that holds ``WHOLE`` of it: an article in sibling containers keeps them all. Classes that occur
     more often than once a page (rows of a list) are records inside a slot, never the slot.
     """
     counted = materialize(_counted(pages), "roles")
-    by_host = counted.groupBy("host").agg(F.count_distinct("vector").alias("classes"))
-    whole = counted.where("role = ''").select("host", F.col("vector").alias("page_vector"), F.col("chars").alias("page_chars"))
+    roles = counted.where("block IS NULL")
+    by_host = roles.groupBy("host").agg(F.count_distinct("vector").alias("classes"))
+    whole = roles.where("role = ''").select("host", F.col("vector").alias("page_vector"), F.col("chars").alias("page_chars"), F.col("pages").alias("all_pages"))
     semantic = F.col("role").rlike(r"/(article|main)[^/]*$")
     depth = F.size(F.split("role", "/"))
-    inside = counted.join(whole, "host").where(f"chars >= {SHARE} * page_chars")
+    inside = roles.join(whole, "host").where(F.col("chars") >= F.when(semantic, SHARE).otherwise(WHOLE) * F.col("page_chars"))
     once = F.col("vector") == F.col("page_vector")
     # one aggregate per host: the best role in the outermost class, else the best of those on several pages
     order = F.struct(once, semantic, F.when(semantic, -depth).otherwise(depth), "chars", "role")
     best = inside.groupBy("host").agg(F.max_by("role", order).alias("slot"))
-    return by_host.select("host", "classes").join(best, "host", "left")
+    shown = counted.where(F.col("block").isNotNull() & (F.bit_count("bits") >= PAGES))
+    shown = shown.join(whole.select("host", "all_pages"), "host").where(f"pages >= {SUPPORT} * all_pages")
+    nested = shown.join(roles.select("host", "role", "vector", "times"), ["host", "role", "vector", "times"], "left_semi")
+    fixed = nested.groupBy("host").agg(F.sort_array(F.collect_set("block")).alias("template"))
+    return by_host.select("host", "classes").join(best, "host", "left").join(fixed, "host", "left")
 
 
-def main_text(page: str, slot: str | None) -> str:
-    """The blocks inside the slot, one per line. A page without that slot: its article or main elements, else all blocks."""
+def main_text(page: str, slot: str | None, template: Collection[int] = ()) -> str:
+    """The blocks inside the slot that are not the template's, one per line; all inside it if else nothing is left.
+    A page without that slot: its article or main elements, else all blocks."""
     found, tree = blocks(page)
     inside = [bool(slot) and role == slot for role, _, _ in tree]
     if slot == "":
@@ -295,14 +326,16 @@ def main_text(page: str, slot: str | None) -> str:
             inside[0] = True
     for i, (_, parent, _) in enumerate(tree[1:], 1):
         inside[i] |= inside[parent]
-    return "\n".join(text for c, text in found if inside[c])
+    texts = [(tree[c][0], text) for c, text in found if inside[c]]
+    own = [x for x in texts if _token(*x) not in template] if template else texts
+    return "\n".join(text for _, text in own or texts)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(id_col, url_col, text, n_chars)`` for every row: the article without what surrounds it.
 
-    Two passes: the templates of all hosts from all pages, then the text of each page by its host's template. Templates are one
-    small row per host and join like any table (Spark broadcasts them only below its size limit).
+    Two passes: the templates of all hosts from all pages, then what fills the slot of each page besides its host's template.
+    Templates are one small row per host and join like any table (Spark broadcasts them only below its size limit).
 
     Null or empty html has no text; pages without a host share one template; repeated rows and repeated ids are pages of their
     own; very long pages are read whole. Character references are decoded, white space inside a block becomes one space.
@@ -310,7 +343,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     base = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), present(html_col).alias("data")
     )
-    found = materialize(templates(base.select("url", "data")).select(F.col("host").alias("h"), "slot"), "templates")
+    found = materialize(templates(base.select("url", "data")).select(F.col("host").alias("h"), "slot", "template"), "templates")
 
     def name(b: pa.RecordBatch) -> dict:
         return {"id": b.column("id"), "url": b.column("url"), "data": b.column("data"), "h": pa.array([host_of(u) for u in b.column("url").to_pylist()], pa.string())}
@@ -319,8 +352,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     named = per_batch(base, name, f"id {kind}, url string, data binary, h string")
 
     def cut(b: pa.RecordBatch) -> dict:
-        texts = [main_text(d.decode("utf-8", "replace"), s) for d, s in zip(b.column("data").to_pylist(), b.column("slot").to_pylist(), strict=True)]
+        columns = (b.column(c).to_pylist() for c in ("data", "slot", "template"))
+        texts = [main_text(d.decode("utf-8", "replace"), s, frozenset(t or ())) for d, s, t in zip(*columns, strict=True)]
         return {"id": b.column("id"), "url": b.column("url"), "text": pa.array(texts, pa.string()), "n": pa.array(map(len, texts), pa.int64())}
 
-    out = per_batch(named.join(found, "h", "left").select("id", "url", "data", "slot"), cut, f"id {kind}, url string, text string, n long")
+    out = per_batch(named.join(found, "h", "left").select("id", "url", "data", "slot", "template"), cut, f"id {kind}, url string, text string, n long")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.col("n").alias("n_chars"))
