@@ -114,6 +114,23 @@ def window_join(ann: DataFrame, windows: DataFrame, iof: float = 0.7, key="image
     return pairs.withColumn("iof", share(F.col, lambda c: F.col(f"b_{c}")))
 
 
+def window_labels(ann: DataFrame, windows: DataFrame, images: DataFrame, iof: float = 0.7, key="image_id", polygon="polygon", cell=1024.0):
+    """Labels of each window: the objects of :func:`window_join` with ``polygon`` as seen from the window.
+
+    Points are shifted to the window's corner and divided by the size of what the window shows: where it reaches beyond the
+    image (``images`` has ``width`` and ``height``), only the part inside counts. Corners outside the window stay outside 0 to 1.
+    """
+    w, h = (F.greatest(F.least(hi, size) - lo, F.lit(0)).cast("double") for lo, hi, size in ((F.col("x1"), F.col("x2"), F.col("width")), (F.col("y1"), F.col("y2"), F.col("height"))))
+    shown = windows.join(images.select(key, "width", "height"), key).select(*windows.columns, w.alias("shown_w"), h.alias("shown_h"))
+    pairs = window_join(ann, shown.where("shown_w > 0 AND shown_h > 0"), iof, key, polygon, cell)
+
+    def seen(q):
+        x, y = (q["x"] - F.col("b_x1")) / F.col("b_shown_w"), (q["y"] - F.col("b_y1")) / F.col("b_shown_h")
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return pairs.withColumn(polygon, F.transform(polygon, seen)).drop("b_shown_w", "b_shown_h")
+
+
 def region_keys(regions: DataFrame) -> list[str]:
     """Regions may belong to a video."""
     return ["video_id"] if "video_id" in regions.columns else []

@@ -166,6 +166,17 @@ def j03(t):
     return out.groupBy("image_id", F.col("b_window_id").alias("window_id")).agg(F.count("*").alias("objects"))
 
 
+@query(
+    "j03_window_labels", "obb images", WIN + IOF
+    + " SELECT image_id, window_id, det_id" + "".join(f", round((qd.p[{k}].x - x1) / (least(x2, width) - x1)::DOUBLE, 6) AS px{k}, round((qd.p[{k}].y - y1) / (least(y2, height) - y1)::DOUBLE, 6) AS py{k}" for k in (1, 2, 3, 4))
+    + " FROM io JOIN qd USING (image_id, det_id) JOIN win USING (image_id, window_id) JOIN images USING (image_id) WHERE iof >= 0.7",
+)
+def j03_labels(t):
+    out = J.window_labels(_quads(t), _windows(t), t.images, 0.7)
+    at = {f"p{c}{k + 1}": F.col("polygon")[k][c] for k in range(4) for c in "xy"}
+    return out.select("image_id", F.col("b_window_id").alias("window_id"), "det_id", *r6(**at))
+
+
 @query("m11_stability", "", "SELECT user_id AS mask_id, count(*) FILTER (WHERE value > 60) AS high, count(*) FILTER (WHERE value > 40) AS low, round(count(*) FILTER (WHERE value > 60) / nullif(count(*) FILTER (WHERE value > 40), 0), 6) AS stability FROM events GROUP BY 1")
 def m11(t):
     e = t.table("events").select(F.col("user_id").alias("mask_id"), F.col("value").alias("score"))

@@ -136,3 +136,10 @@ def test_regions_file(spark, tmp_path):
     (tmp_path / "slots.json").write_text(json.dumps([{"points": [[0, 0], [4, 0], [4, 4]]}, {"points": [[1, 1], [None, 2]]}, {"points": [[9, 9], [8, 8]]}], indent=1))
     got = regions.read_regions(spark, str(tmp_path / "slots.json")).collect()
     assert [len(r.points) for r in got] == [3, 2] and "video_id" not in got[0].asDict() and got[0].region_id < got[1].region_id
+
+
+def test_regions_without_id_are_numbered_above_the_others(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"points": [[0, 0], [1, 1]]}\n{"region_id": 1, "points": [[0, 0], [2, 2]]}\n{"points": [[0, 0], [3, 3]]}\n')
+    (tmp_path / "b.json").write_text('{"points": [[0, 0], [4, 4]]}\n' + '{"region_id": 0, "points": [[0, 0], [5, 5]]}\n' * 1)
+    got = regions.read_regions(spark, str(tmp_path), multiline=False).collect()
+    assert {r.points[1].x: r.region_id for r in got} == {1.0: 2, 2.0: 1, 3.0: 3, 4.0: 4, 5.0: 0}
