@@ -11,6 +11,7 @@ from unicodedata import normalize
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -169,9 +170,9 @@ def write_tokens(
     """Encode every text, end it with ``end_id`` and write shards in ascending id order below ``path``.
 
     ``path/shards`` holds one row per shard (part, first id, ids in it, file bytes), written by Spark so that a retried task
-    leaves nothing behind; ``path/dictionary`` holds the dictionary. Texts are sorted by range, so no task sees more than
-    its range; a text is compressed on its own. Null ids come last, rows that share an id follow by text; null texts are empty
-    and have the end id only.
+    leaves nothing behind; ``path/dictionary`` holds the dictionary. Rows are sorted by range of id, hash of text and place, so
+    no task sees more than its range, even if all rows share an id and a text; a text is compressed on its own. Null ids come
+    last, rows that share an id follow by hash of their text; null texts are empty and have the end id only.
     """
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, tokenizer, end_id, text_col)
@@ -179,21 +180,21 @@ def write_tokens(
     held = spark.sparkContext.broadcast(dictionary)
     base = docs.select(known_id(id_col).alias("d"), present(text_col).alias("data"))
     n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = base.repartitionByRange(n, "d").sortWithinPartitions("d", "data")
+    placed = base.select("*", F.xxhash64("data").alias("h"), F.monotonically_increasing_id().alias("row"))
+    ranged = placed.repartitionByRange(n, "d", "h", "row").sortWithinPartitions("d", "h", "data").select("d", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = sha256(held.value).digest()
         codec = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(held.value) if held.value else None, write_checksum=False, write_dict_id=False)
         own = encoder(tokenizer)
-        entries, frames, size, before, first = [], [], 0, 0, None
+        entries, frames, size, before, part = [], [], 0, 0, TaskContext.get().partitionId()  # parts are numbered in ascending order
 
         def shard() -> pa.RecordBatch:
-            row = {"first": first, "doc_id": entries[0][0], "n": sum(e[2] for e in entries), "shard": write_shard(entries, frames, digest)}
-            return pa.RecordBatch.from_pylist([row], pa.schema([("first", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("shard", pa.binary())]))
+            row = {"part": part, "doc_id": entries[0][0], "n": sum(e[2] for e in entries), "shard": write_shard(entries, frames, digest)}
+            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("shard", pa.binary())]))
 
         for b in batches:
             for d, ids in zip(b.column("d").to_pylist(), own.encode(b.column("data").to_pylist(), end_id), strict=True):
-                first = d if first is None else first
                 frame = codec.compress(ids)
                 entries.append((d, before, len(ids) // own.kind.itemsize))
                 frames.append(frame)
@@ -205,7 +206,7 @@ def write_tokens(
         if entries:
             yield shard()
 
-    ranged.mapInArrow(run, "first long, doc_id long, n long, shard binary").write.parquet(f"{path}/shards")
+    ranged.mapInArrow(run, "part long, doc_id long, n long, shard binary").write.parquet(f"{path}/shards")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -215,8 +216,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """
     shards = spark.read.parquet(f"{path}/shards")
     dictionary = spark.sparkContext.broadcast(bytes(spark.read.parquet(f"{path}/dictionary").first().dictionary))
-    parts = shards.groupBy("first").agg(F.sum("n").alias("n"))
-    parts = parts.select("first", (F.sum("n").over(Window.orderBy("first")) - F.col("n")).alias("base"))
+    parts = shards.groupBy("part").agg(F.sum("n").alias("n"))
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,7 +229,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     ids = pa.array([reader.ids(i).tobytes() for i in some], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(reader.index["doc_id"][a : a + 256]), starts[a : a + 256], ids], ["doc_id", "start", "ids"])
 
-    out = shards.select("first", "shard").join(F.broadcast(parts), "first").select("base", "shard")
+    out = shards.select("part", "shard").join(F.broadcast(parts), "part").select("base", "shard")
     none = (1 << 63) - 1
     read = out.mapInArrow(run, "doc_id long, start long, ids binary")
     return read.withColumn("doc_id", F.when(F.col("doc_id") != none, F.col("doc_id")))
