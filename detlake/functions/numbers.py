@@ -34,22 +34,6 @@ def _nearest(p: Column, rest: Column) -> Column:
     return low + F.when(up, 1.0).otherwise(0.0)
 
 
-def scaled_integer(a: Column, digits: Column) -> Column:
-    """``a * 10**digits`` (a >= 0) rounded to an integer; ``digits`` may be negative."""
-    s = F.pow(F.lit(10.0), F.abs(digits))
-
-    def times(v):
-        return _nearest(v["p"], _product_error(a, v["s"], v["p"]))
-
-    def divided(v):
-        rest = (a - v["p"] * v["s"]) - _product_error(v["p"], v["s"], v["p"] * v["s"])
-        return _nearest(v["p"], rest)
-
-    up = let(F.struct((a * s).alias("p"), s.alias("s")), times)
-    down = let(F.struct((a / s).alias("p"), s.alias("s")), divided)
-    return F.when(digits >= 0, up).otherwise(down)
-
-
 def py_round(c, digits: int = 0) -> Column:
     """Half-even rounding to ``digits`` decimals, for magnitudes whose scaled value stays below 2**53."""
     x = col(c).cast("double")

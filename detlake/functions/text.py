@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .boxes import col, let
-from .numbers import scaled_integer
 
 # Characters that are replaced by an underscore.
 SPECIAL = "|@#!¡·$€%&()=?¿^*;:,¨´><+"
@@ -54,45 +55,29 @@ def label_path(path) -> Column:
 
 
 def format_g(c, digits: int = 6) -> Column:
-    """C's ``%.{digits}g``: ``digits`` significant digits, no trailing zeros, exponent form for very small or large."""
-    x = col(c).cast("double")
-    ten = F.lit(10.0)
-
-    def exponent(a):
-        e = F.floor(F.log10(a)).cast("int")
-        # the logarithm may be off by one next to a power of ten
-        return F.when(a < F.pow(ten, e), e - 1).when(a >= F.pow(ten, e + 1), e + 1).otherwise(e)
-
-    def rounded(v):
-        n = scaled_integer(v["a"], (digits - 1) - v["e"])
-        full = n >= 10.0**digits  # rounded up to the next power of ten
-        return F.struct(
-            F.when(full, n / 10).otherwise(n).cast("bigint").cast("string").alias("d"),
-            F.when(full, v["e"] + 1).otherwise(v["e"]).alias("e"),
-        )
-
-    def written(v):
-        d, e = F.rtrim(v["d"], F.lit("0")), v["e"]
-        tail = F.substring(d, F.lit(2), F.lit(digits))
-        sci = F.concat(
-            F.substring(d, F.lit(1), F.lit(1)), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(F.lit("")),
-            F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(e).cast("string"), F.greatest(F.length(F.abs(e).cast("string")), F.lit(2)), F.lit("0")),
-        )
-        frac = F.substring(d, e + 2, F.lit(digits))
-        large = F.concat(F.rpad(F.substring(d, F.lit(1), e + 1), e + 1, F.lit("0")), F.when(frac != "", F.concat(F.lit("."), frac)).otherwise(F.lit("")))
-        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d)
-        return F.when((e < -4) | (e >= digits), sci).when(e >= 0, large).otherwise(small)
-
-    def number(a):
-        return let(let(F.struct(a.alias("a"), exponent(a).alias("e")), rounded), written)
-
-    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
-    return (
-        F.when(x.isNull(), F.lit(None).cast("string"))
-        .when(F.isnan(x), F.lit("nan"))
-        .when(x == 0, F.lit("0"))
-        .otherwise(F.concat(sign, let(F.abs(x), number)))
-    )
+    """C's ``%.{digits}g``: ``digits`` significant digits, no trailing zeros, exponent form for very small or large. Zero has no sign."""
+    form = f"%.{digits}g"
+
+    @F.arrow_udf("string")
+    def written(numbers: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else form % v for v in pc.add(numbers, 0.0).to_pylist()], pa.string())
+
+    return written(col(c).cast("double"))
+
+
+def joined_g(numbers, digits: int = 6) -> Column:
+    """The numbers of an array as :func:`format_g` writes them, one space between; nulls are left out, a null array stays null."""
+    form = f"%.{digits}g"
+
+    @F.arrow_udf("string")
+    def written(lists: pa.Array) -> pa.Array:
+        flat, out, at = pc.add(lists.flatten(), 0.0).to_pylist(), [], 0
+        for n in pc.list_value_length(lists).to_pylist():
+            out.append(None if n is None else " ".join([form % v for v in flat[at : at + n] if v is not None]))
+            at += n or 0
+        return pa.array(out, pa.string())
+
+    return written(col(numbers).cast("array<double>"))
 
 
 def plural_count(n, name) -> Column:

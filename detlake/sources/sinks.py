@@ -37,7 +37,7 @@ def label_lines(df: DataFrame, kind: str = "box", conf: bool = False, track: boo
         raise ValueError(kind)
     if "keypoints" in df.columns:
         nums = F.concat(nums, F.flatten(F.transform("keypoints", lambda q: F.array(q["x"] / w, q["y"] / h, q["v"]))))
-    parts = [F.col("cls").cast("string"), F.array_join(F.transform(nums, lambda v: X.format_g(v)), " ")]
+    parts = [F.col("cls").cast("string"), X.joined_g(nums)]
     if conf:
         parts.append(X.format_g("conf"))
     if track and "track_id" in df.columns:

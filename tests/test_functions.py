@@ -21,6 +21,12 @@ def test_format_g_matches_c(spark):
     assert [(r.v, r.s) for r in rows if r.s != "%g" % r.v] == []
 
 
+def test_joined_g_writes_lists(spark):
+    lists = [[0.1 + 0.2, -0.0, None, 1e-5], [], None, [float("inf"), float("nan"), 1234567.0], [None], [2.0]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "i int, v array<double>").coalesce(1).select("i", X.joined_g("v").alias("s")).collect()
+    assert {r.i: r.s for r in rows} == {0: "0.3 0 1e-05", 1: "", 2: None, 3: "inf nan 1.23457e+06", 4: "", 5: "2"}
+
+
 def test_py_round_matches_python(spark):
     rnd = random.Random(2)
     vals = [rnd.uniform(-1000, 1000) for _ in range(2000)] + [k / 800 for k in range(800)] + [0.5, 1.5, 2.5, 2.675, 1.005]
