@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,24 @@ def test_lost_track_comes_back(kind):
     assert out[7] == [(1, 0)] and out[8] == [] and out[11] == [(1, 0)]
 
 
+def test_frames_are_stretches_of_arrays():
+    """Frames read as stretches of the columns of many frames give what each frame gives by itself."""
+    rng = np.random.default_rng(5)
+    no = np.sort(rng.integers(0, 40, 300))
+    corner = rng.integers(0, 60, (300, 2)).astype(float)
+    box = np.hstack([corner, corner + [[40.0, 60.0]]])
+    rows = pd.DataFrame(box, columns=track.BOX).assign(frame_no=no, det_id=range(300), cls=1, conf=rng.uniform(0.05, 1, 300))
+    o, s, plain = core.Options(), core.State(), core.State()
+    columns, cuts = track._arrays(rows, o), [*track._cuts(no), 300]
+    assert cuts == [0, *[k for k in range(1, 300) if no[k] != no[k - 1]], 300]
+    for a, b in zip(cuts, cuts[1:]):
+        got = track._one_frame(s, o, columns, a, b)
+        f = rows.iloc[a:b]
+        info, want = core.step(plain, o, f[track.BOX].to_numpy(), f["conf"].to_numpy(), f["cls"].to_numpy(), f["det_id"].to_numpy())
+        assert [(r[0], r[2], *r[3:7], r[8]) for r in got] == [(i["id"], i["score"], *x, i["det"]) for i, x in zip(info, want)]
+        assert all(type(r[0]) is int and r[7] is None for r in got)
+
+
 def test_track_ends_after_the_buffer():
     gap = range(5, 45)
     out = run(moving(60, dx=0.0, gap=gap), buffer=30)
