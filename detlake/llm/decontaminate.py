@@ -127,8 +127,11 @@ def find_leaks(
     items are found once each. Items under ``chars_per_edit`` characters must occur exactly, at word boundaries.
     """
     kept = [c for c in docs.columns if c != name]
+    # the text travels once: among the other columns, unless it isn't one of them or no string
+    place = kept.index(text_col) if text_col in kept and docs.schema[text_col].dataType.typeName() == "string" else None
+    beside = [present(text_col).alias("data")] if place is None else []
     out = docs.select(
-        F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]).alias("rest"), present(text_col).alias("data"),
+        F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]).alias("rest"), *beside,
         F.expr("CAST(array() AS array<struct<item_id:long,distance:int,start:long,end:long>>)").alias("leaks"),
     )
     schema = out.schema.simpleString()[len("struct<") : -1]
@@ -140,10 +143,11 @@ def find_leaks(
             finder = None
             for b in batches:
                 finder = finder or Finder(held.value, chars_per_edit)
-                before = b.column("leaks").to_pylist()
-                texts = (normalised(t.decode("utf-8", "replace")) for t in b.column("data").to_pylist())
-                leaks = pa.array([[*chain(x, finder.find(t))] for x, t in zip(before, texts, strict=True)], kind)
-                yield pa.RecordBatch.from_arrays([b.column("rest"), b.column("data"), leaks], ["rest", "data", "leaks"])
+                data = b.column("data") if place is None else b.column("rest").field(place).cast(pa.binary())
+                # one text at a time is a Python object
+                texts = (normalised((t.as_py() or b"").decode("utf-8", "replace")) for t in data)
+                leaks = pa.array([[*chain(x.as_py(), finder.find(t))] for x, t in zip(b.column("leaks"), texts, strict=True)], kind)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], leaks], b.schema.names)
 
         out = out.mapInArrow(run, schema)
     return out.select(*[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(kept)], F.col("leaks").alias(name))

@@ -180,6 +180,20 @@ def test_find_leaks(spark, documents):
     assert none.where("size(leaks) > 0").count() == 0 and none.count() == docs.count()
 
 
+def test_find_leaks_sends_a_text_once(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so alpha beta gamma delta epsilon!"), (2, None), (3, ""), (4, "naïve")], "doc_id long, text string")
+    as_string = decontaminate.find_leaks(docs, items)
+    as_bytes = decontaminate.find_leaks(docs.withColumn("text", F.col("text").cast("binary")), items)
+    replaced = decontaminate.find_leaks(docs, items, name="text")
+    want = {1: [1], 2: [], 3: [], 4: []}
+    for out, column in ((as_string, "leaks"), (as_bytes, "leaks"), (replaced, "text")):
+        assert {r.doc_id: [x.item_id for x in r[column]] for r in out.collect()} == want
+    assert {(r.doc_id, r.text) for r in as_string.collect()} == {(r.doc_id, r.text) for r in docs.collect()}
+    plan = as_string._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "data#" not in plan
+
+
 def test_find_leaks_of_an_item_that_repeats_a_phrase():
     item = " what is the sum of three and seven and what is the sum of five and nine if both of them are then doubled once more "
     for text in (item.replace("what is", "what was", 1).replace("five and", "five amd"), item.replace("and what is", "amd what was")):
