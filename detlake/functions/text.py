@@ -30,7 +30,8 @@ def image_key(path, root: str | None = None) -> Column:
 
 
 def stem(path) -> Column:
-    return F.regexp_extract(col(path), r"([^/]*?)(\.[^./]*)?$", 1)
+    """Name without folder and suffix. The pattern sees the name only: in the folders it would try every letter as a start."""
+    return F.regexp_extract(F.substring_index(col(path), "/", -1), r"([^/]*?)(\.[^./]*)?$", 1)
 
 
 def suffix(path) -> Column:

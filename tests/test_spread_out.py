@@ -1,10 +1,12 @@
 """Steps whose tasks must stay small or fast on large tables: what a task holds, and that the results are those of the plain definition."""
 
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from detlake.functions import text as X
 from detlake.operators import joins as J
 from detlake.operators import masks as K
 from detlake.operators import match as M
@@ -75,3 +77,14 @@ def test_merge_parts_of_any_lengths(spark):
     for i, rings in rows[:300]:
         want = rings[0] if len(rings) == 1 else [tuple(p) for p in bridge([np.array(r) for r in rings]).tolist()]
         assert got[i] == want
+
+
+def test_stem_reads_long_folders_once(spark):
+    names = ["a/b.c/d.e.txt", "x", "", "a/", "/.hid", "a.b/c", "a/b.", "p/q\n", "é/ü.ö", "a/b..txt", "file:///r/s t.jpeg", None]
+    old = F.regexp_extract("p", r"([^/]*?)(\.[^./]*)?$", 1)
+    found = spark.createDataFrame([(n,) for n in names], "p string").select(X.stem("p").alias("new"), old.alias("old")).collect()
+    assert all(r.new == r.old for r in found) and found[0].new == "d.e"
+    deep = spark.range(0, 100, 1, 1).select(F.concat(F.repeat(F.lit("k"), 30000), F.lit("/"), F.col("id").cast("string"), F.lit(".txt")).alias("p"))
+    begun = time.monotonic()
+    assert deep.select(X.stem("p").alias("s")).agg(F.sum(F.col("s").cast("int"))).collect() == [(4950,)]
+    assert time.monotonic() - begun < 10  # squares of the folder's length took over a second a row
