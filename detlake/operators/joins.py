@@ -27,13 +27,15 @@ def candidate_pairs(
     condition: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
     cell: float = CELL,
     like: tuple[DataFrame, DataFrame] | None = None,
+    few: bool = False,
 ) -> DataFrame:
     """Pairs with equal ``keys`` whose envelopes touch; columns of ``b`` come back prefixed with ``b_``.
 
     Both sides are spread over a grid whose cells grow with the boxes (see :mod:`grid`) and joined on keys and cell, so one
     crowded key is divided by position and never compared as a whole, on a photo or on a raster of any size. ``cell`` is the
     smallest cell in pixels. A pair that meets in several cells is kept in one of them, which avoids a distinct.
-    ``condition(a, b)`` runs inside the join; ``like`` are tables with the same boxes that are cheaper to read.
+    ``condition(a, b)`` runs inside the join; ``like`` are tables with the same boxes that are cheaper to read. ``few`` says that
+    ``b`` is a configured table of some rows: it goes to the rows of ``a``, which then stay where they are.
     """
     left, right = grid.spread_pair(a, b, a_box, b_box, cell, like)
     extra = {"_by", "_lv", "_s", "_gx", "_gy", "_x1", "_y1", "_x2", "_y2"}
@@ -45,7 +47,7 @@ def candidate_pairs(
     if condition is not None:
         on = on & condition(L, R)
     keep = [c for c in a.columns] + [f"b_{c}" for c in b.columns if c not in keys and c not in extra]
-    return left.join(right, on).select(*keep)
+    return left.join(F.broadcast(right) if few else right, on).select(*keep)
 
 
 def overlap_join(
@@ -148,10 +150,14 @@ def in_region(points: DataFrame, regions: DataFrame, x="cx", y="cy", inclusive=F
 
 def near_regions(steps: DataFrame, regions: DataFrame, px="px", py="py", x="cx", y="cy", cell=CELL) -> DataFrame:
     """Track steps joined to the regions whose envelope the step's envelope touches; regions with a ``video_id`` hold for that
-    video only."""
+    video only.
+
+    Pictures have few cells, however many steps there are: regions that hold everywhere are sent to the steps, which would else meet
+    in as few tasks. Those of videos may be many and are joined by video and cell.
+    """
     a = [F.least(px, x), F.least(py, y), F.greatest(px, x), F.greatest(py, y)]
     keys = region_keys(regions)
-    out = candidate_pairs(steps, regions, keys, a_box=a, b_box=list(envelope("points").values()), cell=cell)
+    out = candidate_pairs(steps, regions, keys, a_box=a, b_box=list(envelope("points").values()), cell=cell, few=not keys)
     return out.withColumnsRenamed({f"b_{c}": c for c in regions.columns if c not in keys})
 
 
