@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
@@ -29,13 +29,13 @@ def _best(rows: DataFrame, by: Sequence[str], order: str, value: str, carry: Seq
 def _taken(pairs: DataFrame, key: str, carry: Sequence[str] = ()) -> DataFrame:
     """Each detection with its most similar truth (ties: lowest ``ann_id``).
 
-    A detection meets few distinct truths: its pairs are brought together as they are, and are nearly as many groups as rows. One
-    aggregate over sorted rows then holds a part once; the hash tables of :func:`_best` would hold it four times.
+    A detection meets few distinct truths: its pairs are brought together as they are, and are nearly as many groups as rows. A window
+    over sorted rows then holds a part once; the hash tables of :func:`_best` would hold it four times.
     """
-    rank = F.struct(~F.isnan("sim"), -F.col("sim"), F.isnull("ann_id"), F.col("ann_id").alias("ann_id"))
-    near = pairs.repartition(key, "det_id").groupBy(key, "det_id")
-    won = near.agg(F.min(rank).alias("_r"), F.max("sim").alias("sim"), *[F.max(c).alias(c) for c in carry])
-    return won.select(key, "det_id", F.col("_r.ann_id").alias("ann_id"), "sim", *carry)
+    own = Window.partitionBy(key, "det_id")  # the few truths that one detection meets
+    place = F.row_number().over(own.orderBy(F.col("sim").desc(), F.col("ann_id").asc_nulls_last()))
+    near = pairs.repartition(key, "det_id").withColumns({"_place": place} | {c: F.max(c).over(own) for c in carry})
+    return near.filter("_place = 1").select(key, "det_id", "ann_id", "sim", *carry)
 
 
 def _winners(pairs: DataFrame, thresholds: Sequence[float], key: str, carry: Sequence[str] = ()) -> DataFrame:
