@@ -139,6 +139,34 @@ def clip_to_window(points, x1, y1, x2, y2) -> Column:
     return p
 
 
+def area_in_window(points, x1, y1, x2, y2) -> Column:
+    """Area of a polygon inside an axis-aligned window, as :func:`clip_to_window` would leave it: the height inside the window is
+    integrated along each edge, so no points are made. For polygons whose coordinates are finite numbers."""
+    p = col(points)
+    x1, y1, x2, y2 = (c.cast("double") for c in cols(x1, y1, x2, y2))
+
+    def edge(q, i):
+        r = F.element_at(p, (i + 1) % F.size(p) + 1)
+        # the part of the edge between the window's left and right side
+        span = F.struct(clamp(q["x"], x1, x2).alias("a"), clamp(r["x"], x1, x2).alias("b"))
+        return let(span, lambda s: F.when(s["a"] == s["b"], F.lit(0.0)).otherwise((s["b"] - s["a"]) * let(heights(q, r, s), mean)))
+
+    def heights(q, r, s):
+        def at(x):
+            along = q["y"] + (r["y"] - q["y"]) * ((x - q["x"]) / (r["x"] - q["x"]))
+            return F.when(x == q["x"], q["y"]).when(x == r["x"], r["y"]).otherwise(along)
+
+        return F.struct(at(s["a"]).alias("a"), at(s["b"]).alias("b"))
+
+    def mean(h):
+        a, b = clamp(h["a"], y1, y2), clamp(h["b"], y1, y2)
+        above = F.abs(F.greatest(h["b"], y2) - F.greatest(h["a"], y2))
+        part = F.abs(b - a) * ((a - y1) + (b - y1)) / 2 + above * (y2 - y1)
+        return F.when(h["a"] == h["b"], a - y1).otherwise(part / F.abs(h["b"] - h["a"]))
+
+    return F.abs(F.aggregate(F.transform(p, edge), F.lit(0.0), lambda a, t: a + t))
+
+
 def _cutter(axis: str, bound: Column, sign: int):
     return lambda p: _cut(p, axis, bound, sign)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .boxes import area, col, cols
-from .points import clip_to_window, shoelace
+from .points import area_in_window, clip_to_window, shoelace
 from .rotated import envelope, gaussian_overlap
 
 EPS = 1e-7
@@ -77,12 +77,18 @@ def keypoint_similarity(truth, pred, truth_area, sigmas: list[float], eps=EPS) -
     return F.aggregate(near, F.lit(0.0), lambda acc, v: acc + v) / (seen + eps)
 
 
-def window_share(points, x1, y1, x2, y2, eps=1e-6) -> Column:
-    """Part of a convex polygon's area that lies in the window."""
-    e = envelope(points)
-    meets = intersection(tuple(e.values()), (x1, y1, x2, y2)) > 0
-    cut = shoelace(clip_to_window(points, x1, y1, x2, y2))
-    return F.when(meets, cut / F.greatest(shoelace(points), F.lit(eps))).otherwise(F.lit(0.0))
+def window_share(points, x1, y1, x2, y2, eps=1e-6, shape=None) -> Column:
+    """Part of a convex polygon's area that lies in the window. ``shape`` is the polygon's envelope and area, where they are known.
+
+    A polygon inside the window is not cut, and one with finite corners has its area integrated along the edges.
+    """
+    ex1, ey1, ex2, ey2, own = cols(*(shape or (*envelope(points).values(), shoelace(points))))
+    x1, y1, x2, y2 = cols(x1, y1, x2, y2)
+    meets = intersection((ex1, ey1, ex2, ey2), (x1, y1, x2, y2)) > 0
+    finite = own < float("inf")
+    inside = finite & (ex1 >= x1) & (ey1 >= y1) & (ex2 <= x2) & (ey2 <= y2)
+    cut = F.when(inside, own).when(finite, area_in_window(points, x1, y1, x2, y2)).otherwise(shoelace(clip_to_window(points, x1, y1, x2, y2)))
+    return F.when(meets, cut / F.greatest(own, F.lit(eps))).otherwise(F.lit(0.0))
 
 
 def fused_cost(sim, score) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import regions as RG
 from ..functions import similarity as S
+from ..functions.points import shoelace
 from ..functions.rotated import envelope
 from . import grid
 
@@ -28,6 +29,7 @@ def candidate_pairs(
     cell: float = CELL,
     like: tuple[DataFrame, DataFrame] | None = None,
     few: bool = False,
+    many: bool = False,
 ) -> DataFrame:
     """Pairs with equal ``keys`` whose envelopes touch; columns of ``b`` come back prefixed with ``b_``.
 
@@ -35,7 +37,8 @@ def candidate_pairs(
     crowded key is divided by position and never compared as a whole, on a photo or on a raster of any size. ``cell`` is the
     smallest cell in pixels. A pair that meets in several cells is kept in one of them, which avoids a distinct.
     ``condition(a, b)`` runs inside the join; ``like`` are tables with the same boxes that are cheaper to read. ``few`` says that
-    ``b`` is a configured table of some rows: it goes to the rows of ``a``, which then stay where they are.
+    ``b`` is a configured table of some rows: it goes to the rows of ``a``, which then stay where they are. ``many`` says that neither
+    side is small, whatever Spark makes of its files: both are shuffled, none goes whole to every task.
     """
     left, right = grid.spread_pair(a, b, a_box, b_box, cell, like)
     extra = {"_by", "_lv", "_s", "_gx", "_gy", "_x1", "_y1", "_x2", "_y2"}
@@ -47,7 +50,8 @@ def candidate_pairs(
     if condition is not None:
         on = on & condition(L, R)
     keep = [c for c in a.columns] + [f"b_{c}" for c in b.columns if c not in keys and c not in extra]
-    return left.join(F.broadcast(right) if few else right, on).select(*keep)
+    right = F.broadcast(right) if few else right.hint("merge") if many else right
+    return left.join(right, on).select(*keep)
 
 
 def overlap_join(
@@ -104,16 +108,22 @@ def self_overlap(df: DataFrame, keys=("image_id",), threshold=0.0, measure=S.iou
 
 
 def window_join(ann: DataFrame, windows: DataFrame, iof: float = 0.7, key="image_id", polygon="polygon", cell=1024.0):
-    """Objects of each window: those with at least ``iof`` of their polygon inside it."""
+    """Objects of each window: those with at least ``iof`` of their polygon inside it.
 
-    def share(L, R):
-        return S.window_share(L(polygon), *[R(c) for c in BOX])
+    Envelope and area of a polygon are worked out once per object, the share once per pair of an object and a window that its envelope
+    meets: both come out of a generator, since plain columns would be written out again wherever a filter or a join uses them.
+    """
+    box, own = ["_ex1", "_ey1", "_ex2", "_ey2"], "_area"
+    shape = F.struct(*[v.alias(n) for n, v in zip(box, envelope(polygon).values(), strict=True)], shoelace(polygon).alias(own))
+    shaped = ann.select("*", F.inline(F.array(shape)))
+
+    def meets(L, R):
+        return S.intersection([L(c) for c in box], [R(c) for c in BOX]) > 0
 
-    env = list(envelope(polygon).values())
-    pairs = candidate_pairs(
-        ann, windows, [key], a_box=env, condition=lambda L, R: share(L, R) >= iof if iof > 0 else share(L, R) > 0, cell=cell
-    )
-    return pairs.withColumn("iof", share(F.col, lambda c: F.col(f"b_{c}")))
+    pairs = candidate_pairs(shaped, windows, [key], a_box=box, condition=meets, cell=cell, many=True)
+    share = S.window_share(polygon, *[F.col(f"b_{c}") for c in BOX], shape=(*box, own))
+    out = pairs.select(*[c for c in pairs.columns if c not in (*box, own)], F.explode(F.array(share)).alias("iof"))
+    return out.filter(F.col("iof") >= iof if iof > 0 else F.col("iof") > 0)
 
 
 def window_labels(ann: DataFrame, windows: DataFrame, images: DataFrame, iof: float = 0.7, key="image_id", polygon="polygon", cell=1024.0):

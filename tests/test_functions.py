@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from detlake.functions import points as P
 from detlake.functions import regions as RG
 from detlake.functions import rotated as R
+from detlake.functions import similarity as S
 from detlake.functions import text as X
 from detlake.functions.numbers import py_round
+from detlake.operators import joins as J
 
 PTS = "id int, p array<struct<x:double,y:double>>"
 
@@ -96,3 +98,40 @@ def test_label_path_last_occurrence(spark):
     df = spark.createDataFrame([("/a/images/b/images/c.x.jpg",)], "p string")
     assert df.select(X.label_path("p")).first()[0] == "/a/images/b/labels/c.x.txt"
     assert df.select(F.concat(X.stem("p"), F.lit("|"), X.suffix("p"))).first()[0] == "c.x|jpg"
+
+
+def test_window_area_is_the_clipped_area(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.uniform(-20, 120), rnd.uniform(-20, 120), rnd.uniform(1, 90), rnd.uniform(1, 90), rnd.choice([0.0, rnd.uniform(0, 3)])) for i in range(300)]
+    rows += [(300, 50.0, 50.0, 20.0, 0.0, 0.0), (301, 0.0, 0.0, 0.0, 0.0, 0.0), (302, 25.0, 25.0, 50.0, 50.0, 0.0), (303, 1e6, 1e6, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id int, cx double, cy double, w double, h double, r double").select(R.corners("cx", "cy", "w", "h", "r").alias("p"))
+    for w in ((0, 0, 50, 50), (-10, 20, 200, 30), (40, 40, 40, 90)):
+        w = [F.lit(v) for v in w]
+        for r in df.select(P.area_in_window("p", *w).alias("a"), P.shoelace(P.clip_to_window("p", *w)).alias("b")).collect():
+            assert math.isclose(r.a, r.b, rel_tol=1e-9, abs_tol=1e-7)
+
+
+def test_window_share_of_odd_polygons(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [([(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)], 0.5), ([(1.0, 1.0), (3.0, 1.0), (3.0, 2.0), (1.0, 2.0)], 1.0), ([(6.0, 6.0), (9.0, 6.0), (9.0, 9.0), (6.0, 9.0)], 0.0)]
+    rows += [([(2.0, 2.0)], 0.0), ([], 0.0)]
+    df = spark.createDataFrame(rows, "p array<struct<x:double,y:double>>, s double")
+    for r in df.select("s", S.window_share("p", 0, 0, 5, 10).alias("t")).collect():
+        assert r.s == r.t
+    odd = spark.createDataFrame([([(0.0, 0.0), (v, 0.0), (10.0, 10.0), (0.0, 10.0)],) for v in (inf, nan, None)] + [(None,)], "p array<struct<x:double,y:double>>")
+    by_clip = F.when(S.intersection(tuple(R.envelope("p").values()), (0, 0, 5, 10)) > 0, P.shoelace(P.clip_to_window("p", 0, 0, 5, 10)) / F.greatest(P.shoelace("p"), F.lit(1e-6))).otherwise(0.0)
+    for r in odd.select(S.window_share("p", 0, 0, 5, 10).alias("a"), by_clip.alias("b")).collect():
+        assert repr(r.a) == repr(r.b)
+
+
+def test_window_join_works_a_share_out_once(spark):
+    square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    ann = spark.createDataFrame([(1, 1, square), (1, 2, square[:3]), (2, 3, square), (None, 4, square)], "image_id int, det_id int, polygon array<struct<x:double,y:double>>")
+    windows = spark.createDataFrame([(1, 0, 0, 0, 7, 10), (1, 1, 7, 0, 17, 10), (None, 0, 0, 0, 9, 9)], "image_id int, window_id int, x1 int, y1 int, x2 int, y2 int")
+    out = J.window_join(ann, windows, 0.7)
+    assert out.columns == ["image_id", "det_id", "polygon", "b_window_id", "b_x1", "b_y1", "b_x2", "b_y2", "iof"]
+    assert sorted((r.det_id, r.b_window_id, r.iof) for r in out.collect()) == [(1, 0, 0.7)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert joins and not any("lambdafunction" in line for line in joins)
+    assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
