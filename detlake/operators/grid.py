@@ -97,6 +97,16 @@ def spread_pair(
     return _spread(ready(a, a_box), names, cell, in_b, True), _spread(ready(b, b_box), names, cell, in_a, False)
 
 
+def after_shuffle(side: Side, box: Sequence | Callable[[Side], Sequence], cell: float) -> Side:
+    """Columns of one side of :func:`spread_pair`; the box, unless it is given as columns, and the length of the cell are worked out from
+    the others, so that they need not be shuffled beside them."""
+    names = ("_x1", "_y1", "_x2", "_y2")
+    made = {"_s": _size(side("_lv"), cell)}
+    if callable(box) or all(isinstance(c, str) for c in box):
+        made |= dict(zip(names, box(side) if callable(box) else map(side, box), strict=True))
+    return lambda c: made[c] if c in made else side(c)
+
+
 def meet(L: Side, R: Side) -> Column:
     """Rows of :func:`spread_pair` that touch, each pair in one cell only: the one of its intersection's top-left corner."""
     on = (L("_by") == R("_by")) & (L("_lv") == R("_lv")) & (L("_gx") == R("_gx")) & (L("_gy") == R("_gy"))

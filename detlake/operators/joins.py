@@ -23,8 +23,8 @@ def candidate_pairs(
     a: DataFrame,
     b: DataFrame,
     keys: Sequence[str],
-    a_box: Sequence = BOX,
-    b_box: Sequence = BOX,
+    a_box: Sequence | Callable[[grid.Side], Sequence] = BOX,
+    b_box: Sequence | Callable[[grid.Side], Sequence] = BOX,
     condition: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
     cell: float = CELL,
     like: tuple[DataFrame, DataFrame] | None = None,
@@ -35,16 +35,17 @@ def candidate_pairs(
 
     Both sides are spread over a grid whose cells grow with the boxes (see :mod:`grid`) and joined on keys and cell, so one
     crowded key is divided by position and never compared as a whole, on a photo or on a raster of any size. ``cell`` is the
-    smallest cell in pixels. A pair that meets in several cells is kept in one of them, which avoids a distinct.
+    smallest cell in pixels. A pair that meets in several cells is kept in one of them, which avoids a distinct. A box is names or columns, or
+    a function that makes it from a side's columns: names and functions are looked up on both sides of the shuffle, columns go through it.
     ``condition(a, b)`` runs inside the join; ``like`` are tables with the same boxes that are cheaper to read. ``few`` says that
     ``b`` is a configured table of some rows: it goes to the rows of ``a``, which then stay where they are. ``many`` says that neither
     side is small, whatever Spark makes of its files: both are shuffled, none goes whole to every task.
     """
-    left, right = grid.spread_pair(a, b, a_box, b_box, cell, like)
+    left, right = grid.spread_pair(a, b, *[box(F.col) if callable(box) else box for box in (a_box, b_box)], cell, like)
     extra = {"_by", "_lv", "_s", "_gx", "_gy", "_x1", "_y1", "_x2", "_y2"}
-    right = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns if c != "_s"])
+    right = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns])
     L, R = (lambda c: F.col(c)), (lambda c: F.col(f"b_{c}"))
-    on = grid.meet(L, R)
+    on = grid.meet(grid.after_shuffle(L, a_box, cell), grid.after_shuffle(R, b_box, cell))
     for k in keys:
         on = on & (L(k) == R(k))
     if condition is not None:

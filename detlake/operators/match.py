@@ -136,9 +136,9 @@ def rotated_pairs(a, b, keys, threshold, condition=None, cell=CELL, like=None) -
     """Pairs of rotated boxes with Gaussian similarity of at least ``threshold``."""
     rb = ("cx", "cy", "w", "h", "r")
 
-    def square():
-        s = reach("w", "h", threshold)
-        return [F.col("cx") - s, F.col("cy") - s, F.col("cx") + s, F.col("cy") + s]
+    def square(side):
+        x, y, s = (side(c) for c in ("cx", "cy", "_reach"))
+        return [x - s, y - s, x + s, y + s]
 
     def sim(L, R):
         return gaussian_similarity(L("_g"), R("_g"))
@@ -147,9 +147,11 @@ def rotated_pairs(a, b, keys, threshold, condition=None, cell=CELL, like=None) -
         c = sim(L, R) >= threshold
         return c if condition is None else condition(L, R) & c
 
-    a, b = (d.withColumn("_g", gaussian(*rb)) for d in (a, b))
-    pairs = candidate_pairs(a, b, keys, a_box=square(), b_box=square(), condition=ok, cell=cell, like=like)
-    return pairs.withColumn("sim", sim(F.col, lambda c: F.col(f"b_{c}"))).drop("_g", "b__g")
+    far = reach("w", "h", threshold)
+    a, b = (d.withColumns({"_g": gaussian(*rb), "_reach": far}) for d in (a, b))
+    like = like and tuple(d.withColumn("_reach", far) for d in like)
+    pairs = candidate_pairs(a, b, keys, a_box=square, b_box=square, condition=ok, cell=cell, like=like)
+    return pairs.withColumn("sim", sim(F.col, lambda c: F.col(f"b_{c}"))).drop("_g", "b__g", "_reach", "b__reach")
 
 
 def match_keypoints(det, ann, sigmas: Sequence[float], thresholds=THRESHOLDS, key="image_id", cell=CELL) -> DataFrame:

@@ -62,6 +62,7 @@ OG = "og AS (SELECT o.image_id, o.det_id, g.cls, o.cx + d.jit AS cx, o.cy + d.ji
 
 @query("x02_match_rotated", "obb gt", f"WITH {OG}, {MATCH.format(pairs=ROT_PAIRS, thr=THR, det='obb')} {COUNTS}")
 def x02r(t):
+    t = t.stored()
     shift = t.det.select("image_id", "det_id", "jit")
     truth = t.obb.drop("cls", "conf").join(shift, ["image_id", "det_id"])
     truth = truth.join(t.gt.select("image_id", F.col("ann_id").alias("det_id"), "cls"), ["image_id", "det_id"])

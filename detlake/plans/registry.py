@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import fixtures
 
 QUERIES: dict = {}
@@ -33,6 +34,13 @@ class Tables:
     def det(self):
         return self._view("det")
 
+    def stored(self) -> "Tables":
+        """The same tables, for queries that read the detections several times: their ids are counted and written once, so that each reader
+        does not shuffle the rows again."""
+        out = Tables(self.spark, self.folder)
+        out.det = materialize(self.det, "det")
+        return out
+
     @cached_property
     def gt(self):
         return self._view("gt")
