@@ -164,17 +164,20 @@ def match_keypoints(det, ann, sigmas: Sequence[float], thresholds=THRESHOLDS, ke
 
     lo, widest = min(thresholds), max(sigmas)
     size = F.lit(0.53) * (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    truth = ann.select(key, "cls", "ann_id", "keypoints", size.alias("size"))
-    pred = det.select(key, "cls", "det_id", "conf", "keypoints")
-    far = F.sqrt((F.col("size") + S.EPS) * 2 * math.log(1 / lo)) * (2 * widest) * 1.001
-    e = envelope("keypoints")
-    wide = [e["x1"] - far, e["y1"] - far, e["x2"] + far, e["y2"] + far]
+    around = {f"_e{c}": v for c, v in envelope("keypoints").items()}
+    truth = ann.select(key, "cls", "ann_id", "keypoints", size.alias("size"), *[v.alias(c) for c, v in around.items()])
+    pred = det.select(key, "cls", "det_id", "conf", "keypoints", *[v.alias(c) for c, v in around.items()])
+
+    def wide(side):
+        far = F.sqrt((side("size") + S.EPS) * 2 * math.log(1 / lo)) * (2 * widest) * 1.001
+        x1, y1, x2, y2 = (side(c) for c in around)
+        return [x1 - far, y1 - far, x2 + far, y2 + far]
 
     def sim(L, R):
         return S.keypoint_similarity(R("keypoints"), L("keypoints"), R("size"), list(sigmas))
 
     pairs = candidate_pairs(
-        pred, truth, (key, "cls"), a_box=list(e.values()), b_box=wide, condition=lambda L, R: sim(L, R) >= lo, cell=cell
+        pred, truth, (key, "cls"), a_box=list(around), b_box=wide, condition=lambda L, R: sim(L, R) >= lo, cell=cell
     ).withColumn("sim", sim(F.col, lambda c: F.col(f"b_{c}")))
     return match_pairs(det, pairs.select(key, "det_id", "conf", F.col("b_ann_id").alias("ann_id"), "sim"), thresholds, key)
 

@@ -84,6 +84,7 @@ SELECT image_id, det_id, ann_id, conf, sim FROM (
 
 @query("x02_match_keypoints", "det gt", f"WITH {MATCH.format(pairs=KPT_PAIRS, thr=THR, det='det')} {COUNTS}")
 def x02k(t):
+    t = t.stored()
     return _counts(M.match_keypoints(t.kpts, gt_keypoints(t), [0.2] * 5))
 
 
