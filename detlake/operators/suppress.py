@@ -163,8 +163,10 @@ def tile_parts(tile="image_id") -> dict[str, Column]:
 def merge_rotated_tiles(det: DataFrame, thr: float = 0.3, tile="image_id", uid="det_id") -> DataFrame:
     """Rotated detections of tiles, shifted to the original image and suppressed per class. ``uid`` must be unique."""
     parts = tile_parts(tile)
-    d = det.withColumns(parts | {"cx": F.col("cx") + parts["tile_x"], "cy": F.col("cy") + parts["tile_y"]})
-    return rotated_nms(d.drop("tile_x", "tile_y"), thr, ("image_id", "cls"), uid)
+    # names are read once per row: behind a generator no filter or aggregate writes them out again
+    told = det.withColumn("_t", F.explode(F.array(F.struct(*[v.alias(c) for c, v in parts.items()]))))
+    d = told.withColumns({"image_id": F.col("_t.image_id"), "cx": F.col("cx") + F.col("_t.tile_x"), "cy": F.col("cy") + F.col("_t.tile_y")})
+    return rotated_nms(d.drop("_t"), thr, ("image_id", "cls"), uid)
 
 
 def merge_tiles(det: DataFrame, windows: DataFrame, iou: float = 0.5, conf=0.0, **kw) -> DataFrame:

@@ -165,7 +165,7 @@ def x09(t):
     tile = F.concat(
         F.lit("P"), F.floor(i / 4).cast("string"), F.lit("__1024__"), (i % 4 * 60).cast("string"), F.lit("___"), (i % 2 * 40).cast("string")
     )
-    d = t.obb.withColumn("det_id", i * 32 + F.col("det_id")).withColumn("image_id", tile)
+    d = t.stored().obb.withColumn("det_id", i * 32 + F.col("det_id")).withColumn("image_id", tile)
     return _out(X.merge_rotated_tiles(d))
 
 
