@@ -155,7 +155,7 @@ def _documents(t, polygons=False, lvis=False):
     docs = i.groupBy("shard").agg(F.collect_list("i").alias("images"))
     docs = docs.join(a.groupBy("shard").agg(F.sort_array(F.collect_list("a")).alias("annotations")), "shard")
     path = scratch_path(t.spark, "documents")
-    docs.drop("shard").write.json(path)
+    docs.drop("shard").write.option("compression", "gzip").json(path)
     return path
 
 

@@ -134,12 +134,13 @@ def read_coco(spark, path, class_map=None, segments=False, keypoints=False, flav
 
 def grounding_annotations(images: DataFrame, ann: DataFrame) -> DataFrame:
     """Annotations whose class is a phrase of the caption; ids number an image's phrases by first appearance."""
-    df = usable(_joined(images, ann, ["file_name", "caption"]).withColumns(normalized_box()))
+    slim = ann.select("file", "pos", "id", "image_id", "bbox", "iscrowd", "tokens_positive")  # outlines and the like stay behind
+    df = usable(_joined(images, slim, ["file_name", "caption"]).withColumns(normalized_box()))
     caption = F.col("caption")
     phrase = F.array_join(
         F.transform("tokens_positive", lambda t: F.substring(caption, t[0] + 1, t[1] - t[0])), " "
     )
-    df = df.withColumn("phrase", phrase)
+    df = df.withColumn("phrase", phrase).drop("bbox", "iscrowd", "tokens_positive", "caption", "width", "height")
     # one row per image and phrase; the window sees the phrases of one caption
     first = df.groupBy("file", "image_id", "phrase").agg(F.min("pos").alias("_p"))
     rank = F.row_number().over(Window.partitionBy("file", "image_id").orderBy("_p")) - 1
