@@ -171,13 +171,15 @@ def summary(df: DataFrame, names: Sequence[str], normalize: bool = False, decima
 
 
 def write_summary(rows: DataFrame, path: str, fmt: str = "json") -> None:
-    """Summary rows as ``json``, ``csv`` (box fields as columns, other nested values as JSON text) or ``xml``."""
+    """Summary rows as ``json``, ``csv`` (box fields as columns, other nested values as JSON text) or ``xml``; files of text are compressed
+    (gzip), since field names and tags are most of it."""
+    out = (flat_summary(rows) if fmt == "csv" else rows).write.mode("overwrite").option("compression", "gzip")
     if fmt == "json":
-        rows.write.mode("overwrite").json(path)
+        out.json(path)
     elif fmt == "xml":
-        rows.write.mode("overwrite").format("xml").option("rowTag", "detection").option("rootTag", "detections").save(path)
+        out.format("xml").option("rowTag", "detection").option("rootTag", "detections").save(path)
     elif fmt == "csv":
-        flat_summary(rows).write.mode("overwrite").option("header", "true").csv(path)
+        out.option("header", "true").csv(path)
     else:
         raise ValueError(fmt)
 
