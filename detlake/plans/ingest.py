@@ -388,6 +388,7 @@ def k07(t):
 @query("k07_snapshot_files", "gt", "SELECT image_id, ann_id, cls, x1, x2 FROM gt WHERE ann_id % 5 <> 4 UNION ALL SELECT image_id, ann_id, cls + 10, x1, x2 FROM gt WHERE ann_id % 5 = 4 AND image_id % 3 <> 0")
 def k07_files(t):
     """A snapshot of one file per truth row, after an update in which one kind of file changed and some of them went."""
+    t = t.stored()
     rows = t.gt.select("image_id", "ann_id", "cls", "x1", "x2", F.concat_ws("/", F.col("image_id").cast("string"), F.col("ann_id").cast("string")).alias("path"))
     files = rows.select("path", F.lit(1).alias("length"), "ann_id", "image_id")
     snap = LabelSnapshot(t.spark, scratch_path(t.spark, "labels"))
